@@ -54,9 +54,10 @@ def is_utf8(sample: Column, cut_tail: bool = True) -> Column:
     return F.is_valid_utf8(body.cast("string"))
 
 
-def is_utf8_text(sample: Column) -> Column:
+def utf8_head(sample: Column) -> Column:
+    """First 500 scalars when the sample (less a cut tail) is valid UTF-8, else NULL."""
     text = without_cut_utf8_tail(sample).cast("string")
-    return F.is_valid_utf8(text) & looks_like_text(text)
+    return F.when(F.is_valid_utf8(text), F.substring(text, 1, TEXT_SCALARS))
 
 
 def bom_charset(content: Column) -> Column:

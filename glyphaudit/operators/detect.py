@@ -16,7 +16,7 @@ from ..functions.constants import (
     ENTROPY_LIMIT, ENTROPY_MIN_BYTES, SAMPLE_BYTES, UNKNOWN, UTF16_CHI2_MIN, UTF16_MIN_BYTES,
     UTF16_NUL_HIGH, UTF16_NUL_LOW, UTF16_NUL_MIN, UTF32_MIN_BYTES,
 )
-from ..functions.text import bom_charset, is_ascii_text, is_utf8_text, looks_like_text
+from ..functions.text import bom_charset, is_ascii_text, looks_like_text, utf8_head
 from .legacy import best_legacy, passes_text_test, rank_legacy
 
 
@@ -99,6 +99,7 @@ def detect(
     staged = staged.withColumn(
         "_heads", strict_heads(F.when(tried, F.col("_sample")), F.col("_trials"))
     )
+    staged = staged.withColumn("_utf8", F.when(bomless, utf8_head(F.col("_sample"))))
     staged = staged.withColumn(
         "_found",
         F.when(F.col("_binary") | (F.col("_size") == 0), F.lit(UNKNOWN))
@@ -106,10 +107,10 @@ def detect(
         .when(F.col("_ascii"), F.lit("us-ascii"))
         .otherwise(F.coalesce(
             accepted_unicode(F.col("_heads")),
-            F.when(is_utf8_text(F.col("_sample")), F.lit("utf-8")),
+            F.when(looks_like_text(F.col("_utf8")), F.lit("utf-8")),
         )),
     )
-    helper = ["_sample", "_size", "_mark", "_ascii", "_f", "_binary", "_trials", "_heads", "_found"]
+    helper = ["_sample", "_size", "_mark", "_ascii", "_f", "_binary", "_trials", "_heads", "_utf8", "_found"]
     charset = F.col("_found")
     if legacy:
         staged = staged.withColumn(

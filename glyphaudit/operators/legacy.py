@@ -73,7 +73,7 @@ def _weight(ch: str, usual: str, block: tuple[int, int]) -> float:
         if ch in usual:
             return 1.0
         if ch.lower() in usual:
-            return 0.55
+            return 0.75 if block == LATIN else 0.55
         return 0.3 if block[0] <= ord(ch) <= block[1] else -0.5
     if ord(ch) < 0xA0:
         return -1.0
