@@ -2,6 +2,10 @@
 
 Each returns plain facts; the decisions made from them are Catalyst expressions in ``operators``.
 A NULL input row costs nothing, so callers pass NULL for rows already decided in the JVM.
+
+``once(f)`` is the form for use inside long expressions: Catalyst takes a deterministic Python UDF for cheap
+and copies it, arguments and all, to every place that refers to it, which makes chained calls grow without
+bound in the optimizer. The marked form stays one column.
 """
 
 from __future__ import annotations
@@ -28,6 +32,11 @@ _FEATURES_ARROW = pa.struct([
 ])
 
 
+def once(f):
+    """The same helper, kept by Catalyst as a single column."""
+    return arrow_udf(f.func, f.returnType).asNondeterministic()
+
+
 def _rows(column: pa.Array) -> Iterator[np.ndarray | None]:
     """Zero-copy byte view of each value."""
     for value in column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.arrow import transcode_facts
+from ..functions.arrow import once, transcode_facts
 from ..functions.charsets import BOM_OF, canonical, resolve
 from ..functions.constants import (
     CONVERT_CHUNK_BYTES, CONVERTED, ERROR, SKIPPED, UNCHANGED, UNKNOWN,
@@ -95,18 +95,23 @@ def transcode(
         text = F.col("_text")
     else:
         text = F.lit(None).cast("string")
-    slow = F.col("_go") & text.isNull()
-    staged = staged.withColumn(
-        "_t",
-        transcode_facts(F.when(slow, F.col(content)), F.col("_source"), F.lit(target), F.lit(want_bom)),
-    )
-    result = F.when(slow, _from_facts(F.col("_t"), F.col(content), F.col("_source"), target, want_bom, len(bom)))
+    # staged as columns: each is referred to many times below
+    staged = staged.withColumn("_slow", F.col("_go") & text.isNull())
+    staged = staged.withColumn("_t", once(transcode_facts)(
+        F.when(F.col("_slow"), F.col(content)), F.col("_source"), F.lit(target), F.lit(want_bom)
+    ))
+    staged = staged.withColumn("_code", F.when(
+        F.col("_slow"), _code_of_facts(F.col("_t"), F.col(content), target, want_bom)
+    ))
+    result = F.when(F.col("_slow"), _from_facts(
+        F.col("_t"), F.col("_code"), F.col(content), F.col("_source"), target, want_bom
+    ))
     if fast:
         staged = staged.withColumn("_sha", utf16_sha256(text)).withColumn(
             "_target_sha", utf16_sha256(_fast_decode(F.col("_encoded"), target))
         )
         result = F.when(text.isNotNull(), _from_text(text, F.col("_encoded"), F.col(content), bom)).otherwise(result)
-    helper = ["_go", "_source", "_body", "_text", "_encoded", "_t", "_sha", "_target_sha"]
+    helper = ["_go", "_source", "_body", "_text", "_encoded", "_t", "_slow", "_code", "_sha", "_target_sha"]
     return staged.withColumn(into, result).drop(*helper)
 
 
@@ -153,18 +158,21 @@ def mismatch_message(scalars: Column, units: Column, target_scalars: Column, tar
     ).otherwise(F.format_string("decoded content differs: both have %d scalars", scalars))
 
 
-def _from_facts(f: Column, content: Column, source: Column, target: str, want_bom: bool, bom_bytes: int) -> Column:
-    marked = target in BOM_OF
-    code = (
+def _code_of_facts(f: Column, content: Column, target: str, want_bom: bool) -> Column:
+    """Error code of a row that went through Arrow; the first fault in this order counts."""
+    return (
         F.when(content.isNull(), "SourceReadError")
         .when(f.isNull(), "Unexpected")
         .when(f["decode_error_at"].isNotNull(), "SourceDecodeError")
         .when(f["encode_error_cp"].isNotNull(), "TargetEncodeError")
-        .when(F.lit(marked) & (f["target_mark"] != F.lit(want_bom)), "BomMismatch")
+        .when(F.lit(target in BOM_OF) & (f["target_mark"] != F.lit(want_bom)), "BomMismatch")
         .when(f["target_decode_error_at"].isNotNull(), "TargetDecodeError")
         .when(f["sha256"] != f["target_sha256"], "UnicodeMismatch")
         .otherwise("None")
     )
+
+
+def _from_facts(f: Column, code: Column, content: Column, source: Column, target: str, want_bom: bool) -> Column:
     body = F.length(content) - f["source_mark"]
     at = f["decode_error_at"]
     # a sequence cut off by the end of the data is noticed by the empty read after the last chunk
@@ -221,21 +229,23 @@ def convert(
     target = resolve(base)
     unknown = F.col("source_encoding") == UNKNOWN
     charset = canonical(F.col("source_encoding"))
-    untried = unknown | charset.isNull()
-    needs = ~untried & needs_conversion(F.col("source_encoding"), F.col("source_has_bom"), base, want_bom)
+    needs = needs_conversion(F.col("source_encoding"), F.col("source_has_bom"), base, want_bom)
     kept_encoding, kept_bom = (
         ("target_encoding", "target_has_bom") if rerun else ("source_encoding", "source_has_bom")
     )
     staged = (
-        df.withColumn("_needs", F.coalesce(needs, F.lit(False)))
-        .withColumn("_untried", F.coalesce(untried, F.lit(True)))
+        df.withColumn("_charset", charset)
+        .withColumn("_untried", F.coalesce(unknown | F.col("_charset").isNull(), F.lit(True)))
+        .withColumn("_needs", F.coalesce(~F.col("_untried") & needs, F.lit(False)))
         .withColumn("target_encoding", F.when(F.col("_untried"), F.col(kept_encoding)).otherwise(F.lit(base)))
         .withColumn("target_has_bom", F.when(F.col("_untried"), F.col(kept_bom)).otherwise(F.lit(want_bom)))
     )
     if what_if:
         done, detail = F.lit(CONVERTED), F.lit(None).cast("string")
     else:
-        staged = transcode(staged, content, charset, target, want_bom, F.col("_needs"), built_in=built_in)
+        staged = transcode(
+            staged, content, F.col("_charset"), target, want_bom, F.col("_needs"), built_in=built_in
+        )
         c = F.col("conversion")
         done = F.when(c["success"], CONVERTED).otherwise(ERROR)
         detail = F.when(~c["success"], diagnostic(c["error_code"], c["error_message"]))
@@ -247,5 +257,5 @@ def convert(
             .when(F.col("_needs"), done).otherwise(UNCHANGED),
         )
         .withColumn("diagnostic", F.when(F.col("_needs"), detail))
-        .drop("_needs", "_untried")
+        .drop("_needs", "_untried", "_charset")
     )

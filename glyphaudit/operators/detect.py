@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.arrow import byte_features, strict_heads
+from ..functions.arrow import byte_features, once, strict_heads
 from ..functions.constants import (
     ENTROPY_LIMIT, ENTROPY_MIN_BYTES, SAMPLE_BYTES, UNKNOWN, UTF16_CHI2_MIN, UTF16_MIN_BYTES,
     UTF16_NUL_HIGH, UTF16_NUL_LOW, UTF16_NUL_MIN, UTF32_MIN_BYTES,
@@ -87,17 +87,18 @@ def detect(
         .withColumn("_ascii", F.coalesce((F.col("_size") > 0) & is_ascii_text(F.col("_sample")), F.lit(False)))
     )
     # a marked sample below the entropy floor is settled too
-    open_row = (F.col("_size") > 0) & ~F.col("_ascii") & (
+    staged = staged.withColumn("_open", (F.col("_size") > 0) & ~F.col("_ascii") & (
         F.col("_mark").isNull() | (F.col("_size") >= ENTROPY_MIN_BYTES)
-    )
-    staged = staged.withColumn("_f", byte_features(F.when(open_row, F.col("_sample"))))
+    ))
+    # the condition on the argument is what keeps settled rows out of Python
+    staged = staged.withColumn("_f", once(byte_features)(F.when(F.col("_open"), F.col("_sample"))))
     f = F.col("_f")
     staged = staged.withColumn("_binary", F.coalesce(is_binary(f["size"], f["entropy"]), F.lit(False)))
     bomless = f.isNotNull() & ~F.col("_binary") & F.col("_mark").isNull()
     staged = staged.withColumn("_trials", F.when(bomless, unicode_candidates(f)))
-    tried = F.size(F.coalesce("_trials", F.array().cast("array<string>"))) > 0
+    staged = staged.withColumn("_tried", F.size(F.coalesce("_trials", F.array().cast("array<string>"))) > 0)
     staged = staged.withColumn(
-        "_heads", strict_heads(F.when(tried, F.col("_sample")), F.col("_trials"))
+        "_heads", once(strict_heads)(F.when(F.col("_tried"), F.col("_sample")), F.col("_trials"))
     )
     staged = staged.withColumn("_utf8", F.when(bomless, utf8_head(F.col("_sample"))))
     staged = staged.withColumn(
@@ -110,14 +111,14 @@ def detect(
             F.when(looks_like_text(F.col("_utf8")), F.lit("utf-8")),
         )),
     )
-    helper = ["_sample", "_size", "_mark", "_ascii", "_f", "_binary", "_trials", "_heads", "_utf8", "_found"]
+    helper = ["_sample", "_size", "_mark", "_ascii", "_open", "_f", "_binary", "_trials", "_tried", "_heads", "_utf8", "_found"]
     charset = F.col("_found")
     if legacy:
-        staged = staged.withColumn(
-            "_best", best_legacy(rank_legacy(F.when(F.col("_found").isNull(), F.col("_sample"))))
-        )
+        rest = F.col("_found").isNull()
+        staged = staged.withColumn("_ranked", once(rank_legacy)(F.when(rest, F.col("_sample"))))
+        staged = staged.withColumn("_best", best_legacy(F.col("_ranked")))
         charset = F.coalesce(charset, F.when(passes_text_test(F.col("_best")), F.col("_best.charset")))
-        helper.append("_best")
+        helper += ["_ranked", "_best"]
     return (
         staged
         .withColumn("charset", F.coalesce(charset, F.lit(UNKNOWN)))

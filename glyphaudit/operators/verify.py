@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.arrow import transcode_facts
+from ..functions.arrow import once, transcode_facts
 from ..functions.charsets import BOM_OF, resolve
 from ..functions.labels import split_label
 from .convert import mismatch_message, utf16_sha256, utf16_units
@@ -31,7 +31,7 @@ def verify_stored(
     base, want_bom = split_label(target_label)
     target = resolve(base)
     staged = df.withColumn(
-        "_d", transcode_facts(F.col(output), F.lit(target), F.lit("utf-8"), F.lit(False))
+        "_d", once(transcode_facts)(F.col(output), F.lit(target), F.lit("utf-8"), F.lit(False))
     )
     d, e = F.col("_d"), F.col(expected)
     code = (
