@@ -17,19 +17,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.pandas.types import from_arrow_type
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from .charsets import BOM_OF, CODEC_OF, STRICT_ENCODERS
 from .constants import CONVERT_CHUNK_BYTES, TEXT_SCALARS
 
-FEATURES = (
-    "size int, entropy double, even_nul int, odd_nul int, even_chi2 double, odd_chi2 double, "
-    "first_lane_clear boolean, last_lane_clear boolean"
-)
 _FEATURES_ARROW = pa.struct([
     ("size", pa.int32()), ("entropy", pa.float64()), ("even_nul", pa.int32()), ("odd_nul", pa.int32()),
     ("even_chi2", pa.float64()), ("odd_chi2", pa.float64()),
     ("first_lane_clear", pa.bool_()), ("last_lane_clear", pa.bool_()),
 ])
+FEATURES = from_arrow_type(_FEATURES_ARROW)
+COUNTS = ArrayType(IntegerType())
 
 
 def once(f):
@@ -79,7 +79,7 @@ def byte_features(sample: pa.Array) -> pa.Array:
     return pa.array([None if v is None else _facts(v) for v in _rows(sample)], type=_FEATURES_ARROW)
 
 
-@arrow_udf("array<int>")
+@arrow_udf(COUNTS)
 def byte_histogram(sample: pa.Array) -> pa.Array:
     """256 counts per sample."""
     return pa.array(
@@ -88,7 +88,7 @@ def byte_histogram(sample: pa.Array) -> pa.Array:
     )
 
 
-@arrow_udf("array<int>")
+@arrow_udf(COUNTS)
 def lane_histogram(sample: pa.Array) -> pa.Array:
     """1024 counts per sample: index lane * 256 + byte, lane = position mod 4."""
     def lanes(v: np.ndarray) -> np.ndarray:
@@ -145,7 +145,7 @@ def _strict_head(data: bytes, charset: str) -> str | None:
         return None
 
 
-@arrow_udf("string")
+@arrow_udf(StringType())
 def strict_head(sample: pa.Array, charset: pa.Array) -> pa.Array:
     """First 500 scalars when the whole sample decodes in the charset, NULL when it does not."""
     return pa.array(
@@ -157,8 +157,8 @@ def strict_head(sample: pa.Array, charset: pa.Array) -> pa.Array:
     )
 
 
-HEADS = "array<struct<charset string, head string>>"
 _HEADS_ARROW = pa.list_(pa.struct([("charset", pa.string()), ("head", pa.string())]))
+HEADS = from_arrow_type(_HEADS_ARROW)
 
 
 @arrow_udf(HEADS)
@@ -174,11 +174,6 @@ def strict_heads(sample: pa.Array, charsets: pa.Array) -> pa.Array:
     return pa.array(out, type=_HEADS_ARROW)
 
 
-TRANSCODED = (
-    "output binary, source_mark int, decode_error_at bigint, cut_tail boolean, encode_error_cp int, "
-    "partial_bytes bigint, sha256 string, scalars bigint, units bigint, target_mark boolean, "
-    "target_decode_error_at bigint, target_sha256 string, target_scalars bigint, target_units bigint"
-)
 _TRANSCODED_ARROW = pa.struct([
     ("output", pa.binary()), ("source_mark", pa.int32()), ("decode_error_at", pa.int64()),
     ("cut_tail", pa.bool_()), ("encode_error_cp", pa.int32()), ("partial_bytes", pa.int64()),
@@ -186,6 +181,7 @@ _TRANSCODED_ARROW = pa.struct([
     ("target_mark", pa.bool_()), ("target_decode_error_at", pa.int64()),
     ("target_sha256", pa.string()), ("target_scalars", pa.int64()), ("target_units", pa.int64()),
 ])
+TRANSCODED = from_arrow_type(_TRANSCODED_ARROW)
 
 
 def _digest(text: str) -> tuple[str, int, int]:

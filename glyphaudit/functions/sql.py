@@ -9,20 +9,12 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from . import constants as k
-from .arrow import byte_features, strict_head, strict_heads, transcode_facts
+from .arrow import FEATURES, HEADS, TRANSCODED, byte_features, strict_head, strict_heads, transcode_facts
 from .charsets import BOM_OF
 from .text import _NON_TEXT_CONTROLS, _TAIL_1, _TAIL_2, _TAIL_3
 
 _DETECTED = "struct<charset string, has_bom boolean>"
-_FEATURES = (
-    "struct<size int, entropy double, even_nul int, odd_nul int, even_chi2 double, odd_chi2 double, "
-    "first_lane_clear boolean, last_lane_clear boolean>"
-)
-_HEADS = "array<struct<charset string, head string>>"
-_RANKED = (
-    "array<struct<charset string, priority int, score double, "
-    "head_scalars int, head_controls int, head_private boolean>>"
-)
+_FEATURES, _HEADS, _FACTS = (t.simpleString() for t in (FEATURES, HEADS, TRANSCODED))
 
 
 def _mark_cases(column: str) -> str:
@@ -40,7 +32,7 @@ def _is_text(t: str) -> str:
     )
 
 
-def _statements() -> list[str]:
+def _statements(ranked: str) -> list[str]:
     is_text = f"glyph_is_text(t string) returns boolean return {_is_text('t')}"
     cut = f"""
         glyph_cut(tail string) returns int return case
@@ -75,11 +67,11 @@ def _statements() -> list[str]:
           when not cast(s as string) rlike r'[^\\t\\n\\r -~]' then 'us-ascii'
           when glyph_is_utf8_text(glyph_whole_utf8(s)) then 'utf-8' end"""
     best = f"""
-        glyph_best(ranked {_RANKED}) returns string return case when
+        glyph_best(ranked {ranked}) returns string return case when
           size(ranked) > 0 then (case when coalesce(glyph_top(ranked).ok, false) then glyph_top(ranked).charset end)
           end"""
     top = f"""
-        glyph_top(ranked {_RANKED}) returns struct<score double, o int, charset string, ok boolean> return
+        glyph_top(ranked {ranked}) returns struct<score double, o int, charset string, ok boolean> return
           array_max(transform(ranked, r -> struct(round(r.score, 9) as score, -r.priority as o, r.charset as charset,
             (r.head_scalars > 0 and not r.head_private and
              (r.head_scalars - r.head_controls) / r.head_scalars >= {k.TEXT_MIN_FRACTION}D) as ok)))"""
@@ -116,7 +108,7 @@ def _statements() -> list[str]:
           returns struct<output binary, error_code string, sha256 string, scalars bigint> return glyph_result(
             glyph_code(target, bom, t is null, t.decode_error_at is not null, t.encode_error_cp is not null,
               t.target_mark, t.target_decode_error_at is not null, t.sha256 = t.target_sha256),
-            t.output, t.sha256, t.scalars)""".format(facts=_facts_type())
+            t.output, t.sha256, t.scalars)""".format(facts=_FACTS)
     transcode = """
         transcode(content binary, source string, target string, bom boolean)
           returns struct<output binary, error_code string, sha256 string, scalars bigint> return
@@ -126,21 +118,15 @@ def _statements() -> list[str]:
     return [f"create or replace temporary function {body.strip()}" for body in ordered]
 
 
-def _facts_type() -> str:
-    from .arrow import TRANSCODED
-
-    return f"struct<{TRANSCODED}>"
-
-
 def register_functions(spark: SparkSession) -> None:
     """Register ``detect_charset(binary)``, ``transcode(binary, source, target, bom)`` and
     ``is_valid_text(binary, charset)``; charset names are canonical ones."""
-    from ..operators.legacy import rank_legacy
+    from ..operators.legacy import RANKED, rank_legacy
 
     for name, f in {
         "glyph_features": byte_features, "glyph_head": strict_head, "glyph_heads": strict_heads,
         "glyph_rank": rank_legacy, "glyph_transcode": transcode_facts,
     }.items():
         spark.udf.register(name, f)
-    for statement in _statements():
+    for statement in _statements(RANKED.simpleString()):
         spark.sql(statement)

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.pandas.types import from_arrow_type
 
 from ..functions.arrow import _decode, _rows
 from ..functions.constants import TEXT_MIN_FRACTION, TEXT_SCALARS
@@ -58,14 +59,11 @@ MULTI_BYTE = [
 ]
 CANDIDATES = [c for c, _, _ in SINGLE_BYTE] + [c for c, _, _ in MULTI_BYTE]
 
-RANKED = (
-    "array<struct<charset string, priority int, score double, "
-    "head_scalars int, head_controls int, head_private boolean>>"
-)
 _RANKED_ARROW = pa.list_(pa.struct([
     ("charset", pa.string()), ("priority", pa.int32()), ("score", pa.float64()),
     ("head_scalars", pa.int32()), ("head_controls", pa.int32()), ("head_private", pa.bool_()),
 ]))
+RANKED = from_arrow_type(_RANKED_ARROW)
 
 
 def _weight(ch: str, usual: str, block: tuple[int, int]) -> float:

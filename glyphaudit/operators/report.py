@@ -134,7 +134,7 @@ def report_order() -> list[Column]:
 
 def sort_rows(df: DataFrame, by: str, columns: list[str], descending: bool = False) -> list[Column]:
     """Sort keys: one column ignoring case, ties by the other columns in order; descending turns all."""
-    keys = [F.collate(by, F.lit("UNICODE_CI"))] + [F.col(c) for c in columns if c != by]
+    keys = [F.collate(by, "UNICODE_CI")] + [F.col(c) for c in columns if c != by]
     return [k.desc() if descending else k.asc() for k in keys]
 
 

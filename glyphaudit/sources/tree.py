@@ -89,6 +89,11 @@ def _list_many(directories: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield from _batches(rows(), _LISTED_ARROW)
 
 
+def list_directories(directories: DataFrame) -> DataFrame:
+    """Entries of each (path, rel) directory; unlistable ones give a row of kind "error"."""
+    return directories.select("path", "rel").mapInArrow(_list_many, LISTED)
+
+
 def list_tree(spark: SparkSession, base: str, recursive: bool = True) -> DataFrame:
     """All files below ``base``, excluded directories left out; also the directories that failed to list.
 
@@ -99,7 +104,7 @@ def list_tree(spark: SparkSession, base: str, recursive: bool = True) -> DataFra
     level = 0
     while True:
         target = f"{store}/level={level}"
-        frontier.mapInArrow(_list_many, LISTED).write.parquet(target)
+        list_directories(frontier).write.parquet(target)
         if not recursive:
             break
         found = spark.read.schema(LISTED).parquet(target).filter("kind = 'directory'").select("path", "rel")
