@@ -4,6 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a narrow table for broadcast if it is counted to have few rows; otherwise leave it to a shuffle join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
 
 def merge_outcomes(listed: DataFrame, outcomes: DataFrame, path: str = "path") -> DataFrame:
     """Outcome columns for listed rows, matched by path ignoring case; unmatched outcomes are dropped."""
@@ -18,5 +25,5 @@ def only_selected(df: DataFrame, selection: DataFrame, path: str = "path") -> Da
 
 
 def corpus_of_report(report: DataFrame, corpus: DataFrame, path: str = "path") -> DataFrame:
-    """Contents for the rows of an earlier report."""
-    return report.join(corpus.select(path, "content"), path)
+    """Contents for the rows of an earlier report; a report of moderate size does not shuffle the contents."""
+    return corpus.select(path, "content").join(sized(report), path)

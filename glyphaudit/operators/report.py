@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.constants import CONVERTED, ERROR, INVALID, RESULTS, UNCHANGED
 from ..functions.labels import effective_label, format_label, yes_no
@@ -148,9 +148,7 @@ def with_position(df: DataFrame, keys: list[Column], into: str = "position") ->
     # monotonically_increasing_id puts the partition above bit 33 and counts from 0 below it
     part, inner = F.shiftright("_slot", 33), F.col("_slot").bitwiseAND((1 << 33) - 1)
     sizes = base.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
-    a, b = sizes.alias("a"), sizes.alias("b")
-    before = a.join(b, F.col("b._part") < F.col("a._part"), "left").groupBy("a._part").agg(
-        F.coalesce(F.sum("b._rows"), F.lit(0)).alias("_before")
-    )
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
     joined = base.withColumn("_part", part).join(F.broadcast(before), "_part")
     return joined.withColumn(into, F.col("_before") + inner + 1).drop("_part", "_slot", "_before")

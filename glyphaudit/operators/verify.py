@@ -8,6 +8,7 @@ from ..functions.arrow import once, transcode_facts
 from ..functions.charsets import BOM_OF, resolve
 from ..functions.labels import split_label
 from .convert import mismatch_message, utf16_sha256, utf16_units
+from .joins import sized
 
 OUTCOME = ["source_encoding", "source_has_bom", "target_encoding", "target_has_bom", "result"]
 
@@ -56,27 +57,33 @@ def verify_stored(
     return staged.withColumn(into, result).drop("_d")
 
 
-def flag_stale_sources(converted: DataFrame, listing: DataFrame, path: str = "path") -> DataFrame:
-    """Turn rows whose file changed size or time since it was read into errors.
-
-    ``listing`` is a fresh (path, length, modificationTime) listing; it is read without contents.
-    """
+def stale_paths(read: DataFrame, listing: DataFrame, path: str = "path") -> DataFrame:
+    """Paths whose file is gone or has another size or time than when it was read."""
     now = listing.select(
         F.col(path), F.col("length").alias("_length"), F.col("modificationTime").alias("_time"),
         F.lit(True).alias("_present"),
     )
-    joined = converted.join(now, path, "left")
-    # a file that is gone has changed as well
+    joined = read.select(path, "length", "modificationTime").join(now, path, "left")
     same = F.col("_present") & F.col("length").eqNullSafe(F.col("_length")) & F.col("modificationTime").eqNullSafe(
         F.col("_time")
     )
-    stale = (F.col("result") == "Converted") & ~F.coalesce(same, F.lit(False))
+    return joined.filter(~F.coalesce(same, F.lit(False))).select(path)
+
+
+def flag_stale_sources(converted: DataFrame, listing: DataFrame, path: str = "path") -> DataFrame:
+    """Turn converted rows whose file changed since it was read into errors.
+
+    ``listing`` is a fresh (path, length, modificationTime) listing. Only these narrow columns are joined to find
+    the stale paths; the converted bytes are not shuffled unless very many files changed.
+    """
+    stale = sized(stale_paths(converted, listing, path)).withColumn("_stale", F.lit(True))
+    hit = F.col("_stale").isNotNull() & (F.col("result") == "Converted")
     message = "SourceChangedDuringConversion: the source changed while it was being converted"
     return (
-        joined
-        .withColumn("diagnostic", F.when(stale, message).otherwise(F.col("diagnostic")))
-        .withColumn("result", F.when(stale, "Error").otherwise(F.col("result")))
-        .drop("_length", "_time", "_present")
+        converted.join(stale, path, "left")
+        .withColumn("diagnostic", F.when(hit, message).otherwise(F.col("diagnostic")))
+        .withColumn("result", F.when(hit, "Error").otherwise(F.col("result")))
+        .drop("_stale")
     )
 
 

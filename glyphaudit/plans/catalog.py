@@ -189,7 +189,7 @@ def snk4_converted_corpus(spark, sf):
 def snk5_backup(spark, sf):
     out = shared_folder(spark, "backup")
     corpus = fx.enc_truth(spark, sf, f"{fx.PATHS} as path")
-    write_backup(corpus, convert(corpus, "utf-8", what_if=True), out)
+    write_backup(convert(corpus, "utf-8", what_if=True), out)
     return spark.read.parquet(out).select("path", _sha(_c("content")).alias("sha256"))
 
 

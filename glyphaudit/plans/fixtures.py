@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .session import tune
+
 ENC_SPARK = """case doc_id % 13
  when 0 then encode(text,'UTF-8')
  when 1 then concat(x'EFBBBF', encode(text,'UTF-8'))
@@ -49,7 +51,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
     return spread(df.select(*columns) if columns else df)
 
 

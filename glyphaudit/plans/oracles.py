@@ -170,7 +170,7 @@ def oracle_sql() -> dict[str, str]:
                              "sha256(unhex(substring(hex(encode(html)),1,131072))) from pages")
     o["src5_empty_and_hidden"] = (f"with {ENC} select rel, octet_length(content) as length, case when {DETECTED_SKIP} then 'Skipped' "
                                   f"else 'Unchanged' end as result from enc where {kept} and regexp_matches(rel,'(^|/)[._][^/]*$')")
-    o["src6_unreadable"] = (f"with {P}, f as (select * from p where {kept}) select rel, null as failed_as, "
+    o["src6_unreadable"] = (f"with {P}, f as (select * from p where {kept}) select rel, null::varchar as failed_as, "
                             f"case when {DETECTED_SKIP} then 'Skipped' else 'Unchanged' end as result, false as explained from f "
                             "union all select rel||'.gone', '(Error)', 'Error', true from f")
     o["src7_unlistable_directory"] = (f"with {P} select rel, 'file' as kind from p union all "
@@ -306,7 +306,7 @@ def oracle_sql() -> dict[str, str]:
     o["val2_detect_bytes"] = f"select case when {DETECTED_SKIP} then 'Skipped' else 'Unchanged' end as result, count(*) as n from documents group by 1"
     o["cnv1_convert_detected"] = f"""with {T}, c as (select doc_id, text, {_plan('utf-8', True)} from t)
  select doc_id, target_encoding, target_has_bom, result, case when result='Converted' then sha256(unhex('EFBBBF')||encode(text)) end as sha256 from c"""
-    o["cnv2_dry_run"] = f"with {T} select doc_id, {_plan('utf-8', False)}, null as diagnostic from t"
+    o["cnv2_dry_run"] = f"with {T} select doc_id, {_plan('utf-8', False)}, null::varchar as diagnostic from t"
     o["cnv3_bom_feasibility"] = f"with {T} select doc_id, case when {KNOWN} then 'Error' else 'Skipped' end as result, case when {KNOWN} then 'BomMismatch' end as code from t"
     utf8_length = "octet_length(encode(text))"
     o["cnv4_to_utf8"] = o["cnv4_to_utf8_arrow"] = _conversion("utf-8", False, UTF8_HEX, utf8_length)
@@ -322,7 +322,7 @@ def oracle_sql() -> dict[str, str]:
     o["cnv6_prior_rows"] = f"""with {ENC}, c as (select *, doc_id % 5 = 0 and doc_id % 13 < 2 as alias, doc_id % 5 = 1 and doc_id % 13 <= 10 as bogus from enc),
  d as (select *, not bogus and {KNOWN} as tried, not bogus and {KNOWN} and not (not alias and source_encoding='utf-8' and not source_has_bom) as ok from c)
  select doc_id, case when tried then 'utf-8' else 'kept' end as target_encoding, not tried as target_has_bom,
- case when bogus then 'Error' when not {KNOWN} then 'Skipped' when ok then 'Converted' else 'Unchanged' end as result, null as code,
+ case when bogus then 'Error' when not {KNOWN} then 'Skipped' when ok then 'Converted' else 'Unchanged' end as result, null::varchar as code,
  case when ok then octet_length(content) end as source_bytes, case when ok then {utf8_length} end as target_bytes,
  case when ok then length(text) end as scalars, case when ok then sha256(unhex({U16LE})) end as content_sha256,
  case when ok then sha256(encode(text)) end as sha256 from d"""

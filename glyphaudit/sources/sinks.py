@@ -53,10 +53,13 @@ def write_converted(converted: DataFrame, path: str) -> None:
     ).write.mode("overwrite").parquet(path)
 
 
-def write_backup(corpus: DataFrame, planned: DataFrame, path: str) -> None:
-    """Originals of the rows a plan would convert, kept whatever becomes of the conversion."""
-    chosen = planned.filter("result = 'Converted'").select("path")
-    corpus.join(chosen, "path", "left_semi").select("path", "content").write.mode("overwrite").parquet(path)
+def write_backup(planned: DataFrame, path: str) -> None:
+    """Originals of the rows a dry run would convert, kept whatever becomes of the conversion.
+
+    A plan still carries its contents, so this is a filter and never joins the corpus with itself.
+    """
+    chosen = planned.filter("result = 'Converted'")
+    chosen.select("path", "content").write.mode("overwrite").parquet(path)
 
 
 def _file_writer(base: str):

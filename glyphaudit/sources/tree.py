@@ -28,6 +28,7 @@ _READ_ARROW = pa.schema([
     ("modificationTime", pa.timestamp("us", tz="UTC")), ("content", pa.binary()), ("read_error", pa.string()),
 ])
 READ_BATCH_BYTES = 32 << 20
+SLICE_BYTES, SLICE_FILES = 128 << 20, 20_000
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
@@ -108,9 +109,11 @@ def list_tree(spark: SparkSession, base: str, recursive: bool = True) -> DataFra
         if not recursive:
             break
         found = spark.read.schema(LISTED).parquet(target).filter("kind = 'directory'").select("path", "rel")
-        if found.isEmpty():
+        waiting = found.count()
+        if waiting == 0:
             break
-        frontier = found.repartition("path")
+        # rows are tiny and their cost is not: an explicit number keeps them from being coalesced
+        frontier = found.repartition(min(waiting, max(spark.sparkContext.defaultParallelism, waiting // 1000)))
         level += 1
     return spark.read.schema(LISTED).parquet(*[f"{store}/level={i}" for i in range(level + 1)])
 
@@ -161,12 +164,16 @@ def read_files(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     The files are dealt out evenly first: a listing has one partition per batch of directories, and one
     directory may hold most files.
     """
-    spread = files.select("path", "rel", "length", "modificationTime").repartition(_slices(files.sparkSession))
+    rows = files.select("path", "rel", "length", "modificationTime")
+    spread = rows.repartition(_slices(rows, max_bytes))
     return spread.mapInArrow(_reader(max_bytes), READ)
 
 
-def _slices(spark: SparkSession) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+def _slices(files: DataFrame, max_bytes: int | None) -> int:
+    """Tasks for a read: about 128 MB and at most 20,000 files each."""
+    size = F.col("length") if max_bytes is None else F.least(F.col("length"), F.lit(max_bytes))
+    n, total = files.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return max(files.sparkSession.sparkContext.defaultParallelism, total // SLICE_BYTES, n // SLICE_FILES)
 
 
 def scan_prefixes(
