@@ -50,6 +50,12 @@ def _channels(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.bincount(v[0:n:2], minlength=256), np.bincount(v[1:n:2], minlength=256)
 
 
+def _chi2(counts: np.ndarray, expected: float) -> float:
+    """Summed in byte order: the two channels are compared strictly, so the last bit can decide a near tie."""
+    off = counts - expected
+    return float(np.cumsum(off * off / expected)[-1])
+
+
 def _facts(v: np.ndarray) -> dict:
     n = len(v)
     even, odd = _channels(v)
@@ -65,8 +71,8 @@ def _facts(v: np.ndarray) -> dict:
         "entropy": float(-(p * np.log2(p)).sum()) + 0.0,
         "even_nul": int(even[0]),
         "odd_nul": int(odd[0]),
-        "even_chi2": float((even.astype(np.int64) ** 2).sum() / expected - units) if units else 0.0,
-        "odd_chi2": float((odd.astype(np.int64) ** 2).sum() / expected - units) if units else 0.0,
+        "even_chi2": _chi2(even, expected) if units else 0.0,
+        "odd_chi2": _chi2(odd, expected) if units else 0.0,
         # a lane can only be clear when its channel holds a NUL for every unit of the lane
         "first_lane_clear": bool(even[0] >= quads // 4 and not v[0:quads:4].any()),
         "last_lane_clear": bool(odd[0] >= quads // 4 and not v[3:quads:4].any()),
@@ -135,6 +141,9 @@ def _encode_errors(charset: str) -> str:
 
 def _decode(data: bytes, charset: str, final: bool) -> str:
     """Strict decode; without ``final`` an unfinished tail is left out instead of refused."""
+    if charset == "utf-8" and not final and len(data) > 1 and data[-2] == 0xED and 0xA0 <= data[-1] <= 0xBF:
+        # the codec waits for more, but no third byte can make a surrogate valid
+        raise UnicodeDecodeError(charset, data, len(data) - 2, len(data), "surrogate")
     return codecs.getincrementaldecoder(CODEC_OF[charset])(_decode_errors(charset)).decode(data, final)
 
 

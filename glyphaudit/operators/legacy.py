@@ -68,10 +68,11 @@ RANKED = from_arrow_type(_RANKED_ARROW)
 
 def _weight(ch: str, usual: str, block: tuple[int, int]) -> float:
     if ch.isalpha() or block[0] <= ord(ch) <= block[1]:
-        if ch in usual:
-            return 1.0
-        if ch.lower() in usual:
-            return 0.75 if block == LATIN else 0.55
+        rank = usual.find(ch.lower()) / len(usual)
+        if rank >= 0:
+            upper = 0 if ch in usual else 0.25 if block == LATIN else 0.45
+            # every letter of the short Hebrew alphabet is common
+            return 1.0 - (0.1 if usual is HEBREW else 0.4) * rank - upper
         return 0.3 if block[0] <= ord(ch) <= block[1] else -0.5
     if ord(ch) < 0xA0:
         return -1.0

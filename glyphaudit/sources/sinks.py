@@ -30,10 +30,11 @@ def read_csv_report(spark, path: str) -> DataFrame:
     names = "path string, source_encoding string, source_bom string, target_encoding string, target_bom string, result string"
     raw = (
         spark.read.schema(names).option("header", True).option("escape", '"').option("multiLine", True)
-        .option("enforceSchema", True).option("nullValue", "\u0000").option("emptyValue", "").csv(path)
+        .option("enforceSchema", True).option("emptyValue", "").csv(path)
     )
+    # an unquoted empty field is read as NULL
     return raw.select(
-        "path", "source_encoding", (F.col("source_bom") == "Yes").alias("source_has_bom"),
+        F.coalesce("path", F.lit("")).alias("path"), "source_encoding", (F.col("source_bom") == "Yes").alias("source_has_bom"),
         "target_encoding", (F.col("target_bom") == "Yes").alias("target_has_bom"), "result",
     )
 
