@@ -233,7 +233,11 @@ def _transcode(data: bytes, source: str, target: str, want_bom: bool) -> dict:
     row["target_mark"] = bool(target_bom) and output.startswith(target_bom)
     try:
         again = _decode(output[len(target_bom):] if row["target_mark"] else output, target, True)
-        row["target_sha256"], row["target_scalars"], row["target_units"] = _digest(again)
+        # equal text has an equal digest; only a mismatch is worth a second one
+        same = again == text
+        row["target_sha256"], row["target_scalars"], row["target_units"] = (
+            (row["sha256"], row["scalars"], row["units"]) if same else _digest(again)
+        )
     except UnicodeDecodeError as e:
         row["target_decode_error_at"] = e.start
     return row

@@ -107,11 +107,10 @@ def transcode(
         F.col("_t"), F.col("_code"), F.col(content), F.col("_source"), target, want_bom
     ))
     if fast:
-        staged = staged.withColumn("_sha", utf16_sha256(text)).withColumn(
-            "_target_sha", utf16_sha256(_fast_decode(F.col("_encoded"), target))
-        )
+        # read back and compare text with text, which implies equal digests
+        staged = staged.withColumn("_same", _fast_decode(F.col("_encoded"), target) == text)
         result = F.when(text.isNotNull(), _from_text(text, F.col("_encoded"), F.col(content), bom)).otherwise(result)
-    helper = ["_go", "_source", "_body", "_text", "_encoded", "_t", "_slow", "_code", "_sha", "_target_sha"]
+    helper = ["_go", "_source", "_body", "_text", "_encoded", "_t", "_slow", "_code", "_same"]
     return staged.withColumn(into, result).drop(*helper)
 
 
@@ -134,7 +133,7 @@ def _infeasible_bom(target: str) -> Column:
 
 
 def _from_text(text: Column, encoded: Column, content: Column, bom: bytes) -> Column:
-    same = F.col("_sha") == F.col("_target_sha")
+    same = F.col("_same")
     return _struct(
         success=same,
         error_code=F.when(same, "None").otherwise("UnicodeMismatch"),
@@ -142,7 +141,7 @@ def _from_text(text: Column, encoded: Column, content: Column, bom: bytes) -> Co
         source_bytes=F.length(content),
         target_bytes=F.length(encoded) + len(bom),
         scalars_verified=F.char_length(text),
-        verification_passed=same, bom_verified=F.lit(True), sha256=F.col("_sha"),
+        verification_passed=same, bom_verified=F.lit(True), sha256=utf16_sha256(text),
         output=F.when(same, F.concat(F.lit(bom), encoded) if bom else encoded),
     )
 

@@ -111,19 +111,21 @@ def _usual_ideographs(charset: str, leads: tuple[int, int]) -> np.ndarray:
     return usual
 
 
-def _multi_byte_row(data: bytes, k: int, usual: np.ndarray) -> dict | None:
+def _multi_byte_row(data: bytes, k: int, known: dict[int, np.ndarray]) -> dict | None:
     charset, _, (kana, hangul, common, rare) = MULTI_BYTE[k]
     try:
         text = _decode(data, charset, False)
     except UnicodeError:
         return None
+    if k not in known:
+        known[k] = _usual_ideographs(charset, MULTI_BYTE[k][1])
     cp = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
     head = cp[:TEXT_SCALARS]
     high = cp[cp >= 0x80]
     ideograph = (high >= 0x4E00) & (high <= 0x9FFF)
     w = np.full(len(high), -0.5)
     w[ideograph] = rare
-    w[ideograph & usual[high]] = common
+    w[ideograph & known[k][high]] = common
     w[(high >= 0x3041) & (high <= 0x30FE)] = kana
     w[(high >= 0xAC00) & (high <= 0xD7A3)] = hangul
     w[((high >= 0x3000) & (high <= 0x3020)) | ((high >= 0xFF01) & (high <= 0xFF5E))] = 0.8
@@ -136,7 +138,7 @@ def _multi_byte_row(data: bytes, k: int, usual: np.ndarray) -> dict | None:
     }
 
 
-def _rank(v: np.ndarray, tables: tuple, usual: list[np.ndarray]) -> list[dict]:
+def _rank(v: np.ndarray, tables: tuple, known: dict[int, np.ndarray]) -> list[dict]:
     weight, undefined, control, private = tables
     high = v >= 0x80
     n_high = int(high.sum())
@@ -158,20 +160,19 @@ def _rank(v: np.ndarray, tables: tuple, usual: list[np.ndarray]) -> list[dict]:
             "head_private": bool(privates[c]),
         })
     data = v.tobytes()
-    out += [r for k in range(len(MULTI_BYTE)) if (r := _multi_byte_row(data, k, usual[k]))]
+    out += [r for k in range(len(MULTI_BYTE)) if (r := _multi_byte_row(data, k, known))]
     return out
 
 
 @arrow_udf(RANKED)
 def rank_legacy(samples: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Score of every legacy charset in which the whole sample decodes."""
-    tables = usual = None
+    tables, known = None, {}
     for batch in samples:
         if tables is None and batch.null_count < len(batch):
             tables = _single_byte_tables()
-            usual = [_usual_ideographs(c, leads) for c, leads, _ in MULTI_BYTE]
         yield pa.array(
-            [None if v is None else _rank(v, tables, usual) for v in _rows(batch)], type=_RANKED_ARROW
+            [None if v is None else _rank(v, tables, known) for v in _rows(batch)], type=_RANKED_ARROW
         )
 
 

@@ -14,6 +14,7 @@ from ..operators.convert import convert
 from ..operators.detect import detect
 from ..operators.report import as_report
 from ..operators.validate import report_detected, validate
+from .session import tune
 
 ACTIONS = ["detect", "validate", "convert"]
 
@@ -58,6 +59,7 @@ def audit(
     A row with a ``read_error`` becomes an error row instead of failing the job.
     """
     check_options(action, target=target, accepted=accepted)
+    tune(corpus.sparkSession)
     readable = corpus
     errors = "read_error" in corpus.columns
     if errors:

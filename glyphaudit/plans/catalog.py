@@ -304,7 +304,9 @@ def join7_compare_runs(spark, sf):
 
 
 def join8_legacy_trials(spark, sf):
-    found = detect(fx.enc(spark, sf), legacy=False)
+    f = _c("f")
+    text = _features(spark, sf).filter(~is_binary(f["size"], f["entropy"]))
+    found = detect(text.select("doc_id", "content"), legacy=False)
     rest = found.filter((_c("charset") == k.UNKNOWN) & (F.length("content") > 0))
     return candidate_trials(rest, _sample(), ["doc_id"])
 

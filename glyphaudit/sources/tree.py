@@ -28,6 +28,8 @@ _READ_ARROW = pa.schema([
     ("modificationTime", pa.timestamp("us", tz="UTC")), ("content", pa.binary()), ("read_error", pa.string()),
 ])
 READ_BATCH_BYTES = 32 << 20
+# A row holds a value of at most 2 GB; larger files can be detected from a prefix but not read whole.
+ROW_BYTES = (1 << 31) - (1 << 20)
 SLICE_BYTES, SLICE_FILES = 128 << 20, 20_000
 
 
@@ -142,6 +144,8 @@ def _reader(max_bytes: int | None):
             for row in batch.to_pylist():
                 content = error = None
                 try:
+                    if max_bytes is None and row["length"] > ROW_BYTES:
+                        raise ValueError(f"{row['length']} bytes are more than one row can hold")
                     system, inner = _open(row["path"])
                     with system.open_input_file(inner) as f:
                         content = f.read(max_bytes) if max_bytes is not None else f.read()
