@@ -79,28 +79,25 @@ def detect(
     """Add ``charset`` (``(Unknown)`` when nothing fits) and ``has_bom`` for a binary column."""
     if sample_bytes <= 0:
         raise ValueError("sample_bytes must be positive")
-    staged = df.withColumn("_sample", sample_of(content, sample_bytes))
-    staged = (
-        staged
-        .withColumn("_size", F.coalesce(F.length("_sample"), F.lit(0)))
-        .withColumn("_mark", bom_charset(F.col("_sample")))
-        .withColumn("_ascii", F.coalesce((F.col("_size") > 0) & is_ascii_text(F.col("_sample")), F.lit(False)))
-    )
-    # a marked sample below the entropy floor is settled too
-    staged = staged.withColumn("_open", (F.col("_size") > 0) & ~F.col("_ascii") & (
+    staged = df.withColumn("_sample", sample_of(content, sample_bytes)).withColumns({
+        "_size": F.coalesce(F.length("_sample"), F.lit(0)),
+        "_mark": bom_charset(F.col("_sample")),
+        "_ascii": F.coalesce((F.length("_sample") > 0) & is_ascii_text(F.col("_sample")), F.lit(False)),
+    })
+    # a marked sample below the entropy floor is settled too; the condition keeps settled rows out of Python
+    unsettled = (F.col("_size") > 0) & ~F.col("_ascii") & (
         F.col("_mark").isNull() | (F.col("_size") >= ENTROPY_MIN_BYTES)
-    ))
-    # the condition on the argument is what keeps settled rows out of Python
-    staged = staged.withColumn("_f", once(byte_features)(F.when(F.col("_open"), F.col("_sample"))))
+    )
+    staged = staged.withColumn("_f", once(byte_features)(F.when(unsettled, F.col("_sample"))))
     f = F.col("_f")
     staged = staged.withColumn("_binary", F.coalesce(is_binary(f["size"], f["entropy"]), F.lit(False)))
     bomless = f.isNotNull() & ~F.col("_binary") & F.col("_mark").isNull()
     staged = staged.withColumn("_trials", F.when(bomless, unicode_candidates(f)))
-    staged = staged.withColumn("_tried", F.size(F.coalesce("_trials", F.array().cast("array<string>"))) > 0)
-    staged = staged.withColumn(
-        "_heads", once(strict_heads)(F.when(F.col("_tried"), F.col("_sample")), F.col("_trials"))
-    )
-    staged = staged.withColumn("_utf8", F.when(bomless, utf8_head(F.col("_sample"))))
+    tried = F.coalesce(F.size("_trials"), F.lit(0)) > 0
+    staged = staged.withColumns({
+        "_heads": once(strict_heads)(F.when(tried, F.col("_sample")), F.col("_trials")),
+        "_utf8": F.when(bomless, utf8_head(F.col("_sample"))),
+    })
     staged = staged.withColumn(
         "_found",
         F.when(F.col("_binary") | (F.col("_size") == 0), F.lit(UNKNOWN))
@@ -111,7 +108,7 @@ def detect(
             F.when(looks_like_text(F.col("_utf8")), F.lit("utf-8")),
         )),
     )
-    helper = ["_sample", "_size", "_mark", "_ascii", "_open", "_f", "_binary", "_trials", "_tried", "_heads", "_utf8", "_found"]
+    helper = ["_sample", "_size", "_mark", "_ascii", "_f", "_binary", "_trials", "_heads", "_utf8", "_found"]
     charset = F.col("_found")
     if legacy:
         rest = F.col("_found").isNull()
@@ -119,9 +116,7 @@ def detect(
         staged = staged.withColumn("_best", best_legacy(F.col("_ranked")))
         charset = F.coalesce(charset, F.when(passes_text_test(F.col("_best")), F.col("_best.charset")))
         helper += ["_ranked", "_best"]
-    return (
-        staged
-        .withColumn("charset", F.coalesce(charset, F.lit(UNKNOWN)))
-        .withColumn("has_bom", F.col("_mark").isNotNull() & ~F.col("_binary"))
-        .drop(*helper)
-    )
+    return staged.withColumns({
+        "charset": F.coalesce(charset, F.lit(UNKNOWN)),
+        "has_bom": F.col("_mark").isNotNull() & ~F.col("_binary"),
+    }).drop(*helper)
