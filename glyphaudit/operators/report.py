@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.constants import CONVERTED, ERROR, INVALID, RESULTS, UNCHANGED
 from ..functions.labels import effective_label, format_label, yes_no
+from ..sources.scratch import checkpoint_folder
 from .paths import directory, extension, file_name
 
 REPORT_COLUMNS = [
@@ -144,6 +145,7 @@ def with_position(df: DataFrame, keys: list[Column], into: str = "position") ->
     The range-sorted rows are checkpointed, which pins their partitions; each partition then only needs the
     number of rows before it - one small row per partition.
     """
+    checkpoint_folder(df.sparkSession)
     base = df.orderBy(*keys).withColumn("_slot", F.monotonically_increasing_id()).checkpoint()
     # monotonically_increasing_id puts the partition above bit 33 and counts from 0 below it
     part, inner = F.shiftright("_slot", 33), F.col("_slot").bitwiseAND((1 << 33) - 1)

@@ -34,7 +34,12 @@ SLICE_BYTES, SLICE_FILES = 128 << 20, 20_000
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{_quote(path)}")
+    """File system and inner path of a plain path or a URI, on the driver or in a task."""
+    if "://" not in path:
+        path = f"file://{_quote(path)}"
+    elif path.startswith("s3a://"):
+        path = "s3://" + path.removeprefix("s3a://")
+    return pafs.FileSystem.from_uri(path)
 
 
 def _quote(path: str) -> str:
