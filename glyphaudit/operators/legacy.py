@@ -71,8 +71,9 @@ def _weight(ch: str, usual: str, block: tuple[int, int]) -> float:
         rank = usual.find(ch.lower()) / len(usual)
         if rank >= 0:
             upper = 0 if ch in usual else 0.25 if block == LATIN else 0.45
-            # every letter of the short Hebrew alphabet is common
-            return 1.0 - (0.1 if usual is HEBREW else 0.4) * rank - upper
+            # frequency tells scripts apart, not Latin languages; the short Hebrew alphabet is all common
+            decay = 0.0 if block == LATIN else 0.1 if usual == HEBREW else 0.4
+            return 1.0 - decay * rank - upper
         return 0.3 if block[0] <= ord(ch) <= block[1] else -0.5
     if ord(ch) < 0xA0:
         return -1.0
