@@ -80,3 +80,10 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
 def emit(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def fixed_binary(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binary values."""
+    n, width = rows.shape[0], rows.shape[1] * rows.itemsize
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * np.int32(width)),
+                                                  pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
