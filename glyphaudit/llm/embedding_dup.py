@@ -1,6 +1,7 @@
 """Near-duplicate embeddings: spherical k-means cells and blocked cosine products.
 
-Equal vectors are one class. Classes are assigned to the nearest of ``CELLS`` unit centres, learned on a bounded sample. A partner y of x lies in
+Equal vectors are one class. Classes are assigned to the nearest of at most ``CELLS`` unit centres, learned on a bounded sample; fewer are
+made where more would not keep vectors apart. A partner y of x lies in
 another cell c' only across the plane between the two centres, so if x is farther from that plane than the angle allows,
 
     (x.c - x.c') / |c - c'| > sin(arccos THRESHOLD),
@@ -24,13 +25,13 @@ from .components import components
 from .vectors import matrix_of, unit, usable
 
 THRESHOLD = 0.95
-CELLS, SAMPLE, ROUNDS = 16, 20_000, 12
+CELLS, SAMPLE, ROUNDS = 64, 20_000, 12
 BLOCK = 8192
 DOUBT = 1e-5
 
 
-def spherical_k_means(rows: np.ndarray, k: int, apart: float, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
-    """Unit centres of unit rows, started far apart: at most ``k``, and no two closer than ``apart`` (they would not part vectors)."""
+def spherical_k_means(rows: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
+    """Unit centres of unit rows, at most ``k``, started far apart."""
     chance = np.random.default_rng(seed)
     centres = rows[chance.integers(len(rows))][None]
     near = rows @ centres[0]
@@ -41,13 +42,7 @@ def spherical_k_means(rows: np.ndarray, k: int, apart: float, rounds: int = ROUN
         pick = rows[chance.choice(len(rows), p=weight / weight.sum())]
         centres = np.vstack([centres, pick])
         near = np.maximum(near, rows @ pick)
-    for step in range(2 * rounds):
-        if step == rounds:
-            kept: list[np.ndarray] = []
-            for centre in centres[np.argsort(-np.bincount(home, minlength=len(centres)), kind="stable")]:
-                if all(np.linalg.norm(centre - other) >= apart for other in kept):
-                    kept.append(centre)
-            centres = np.array(kept)
+    for _ in range(rounds):
         home = (rows @ centres.T).argmax(axis=1)
         sums = np.zeros_like(centres)
         np.add.at(sums, home, rows)
@@ -56,6 +51,25 @@ def spherical_k_means(rows: np.ndarray, k: int, apart: float, rounds: int = ROUN
     return centres
 
 
+def visits(x: np.ndarray, centres: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Home cell of each unit row, and the cells its partners may be in (home among them)."""
+    near = x @ centres.T
+    home = near.argmax(axis=1)
+    apart = np.linalg.norm(centres[:, None] - centres[None], axis=2)[home]
+    reach = float(np.sqrt(1 - threshold ** 2)) + 1e-9
+    return home, near[np.arange(len(x)), home][:, None] - near <= reach * apart
+
+
+def parting_centres(rows: np.ndarray, cells: int, threshold: float) -> np.ndarray:
+    """The most centres, halving from ``cells``, that keep a vector out of half of the cells on the average; else one."""
+    while cells > 1:
+        centres = spherical_k_means(rows, cells)
+        if visits(rows, centres, threshold)[1].mean() <= 0.5:
+            return centres
+        cells //= 2
+    return spherical_k_means(rows, 1)
+
+
 def merge(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Join a[i] with b[i] in a forest where every node points to a smaller or equal one."""
     while len(a):
@@ -76,14 +90,12 @@ def learn_centres(classes: DataFrame, cells: int, sample: int, threshold: float
     by_width: dict[int, list] = {}
     for r in rows:
         by_width.setdefault(len(r[0]), []).append(r[0])
-    apart = 4 * float(np.sqrt(1 - threshold ** 2))
-    return {n: spherical_k_means(unit(np.array(v, np.float64)), cells, apart) for n, v in by_width.items()}
+    return {n: parting_centres(unit(np.array(v, np.float64)), cells, threshold) for n, v in by_width.items()}
 
 
 def assigned(classes: DataFrame, centres: dict[int, np.ndarray], threshold: float) -> DataFrame:
     """(width, cell, own, cls, copies, embedding): each class in its own cell and in those where partners may be."""
     shared = Shared(classes.sparkSession, centres)
-    reach = float(np.sqrt(1 - threshold ** 2)) + 1e-9
 
     def run(batches):
         centres, schema = shared.get(), None
@@ -99,11 +111,8 @@ def assigned(classes: DataFrame, centres: dict[int, np.ndarray], threshold: floa
                 if c is None:
                     row, cell, own = np.arange(len(at)), np.zeros(len(at), np.int32), np.ones(len(at), bool)
                 else:
-                    near = x @ c.T
-                    home = near.argmax(axis=1)
-                    apart = np.linalg.norm(c[:, None] - c[None], axis=2)[home]
-                    visits = near[np.arange(len(at)), home][:, None] - near <= reach * apart
-                    row, cell = np.nonzero(visits)  # the home cell is among them
+                    home, may = visits(x, c, threshold)
+                    row, cell = np.nonzero(may)
                     own = cell == home[row]
                 yield emit(schema, [np.full(len(row), width, np.int32), cell.astype(np.int32), own,
                                     *(batch.column(i).take(pa.array(at[row])) for i in (1, 2)), lists.take(pa.array(at[row]))])
