@@ -12,12 +12,14 @@ from glyphaudit.llm.common import stored, table
 from glyphaudit.llm.language_id import identified
 from glyphaudit.llm.near_dup import without_near_duplicates
 from glyphaudit.llm.packing import packed_stage
+from glyphaudit.llm.repeats import without_repeats
 from glyphaudit.llm.toxicity import without_toxic
 
 STAGES = [
     ("language_id", identified),
     ("toxicity", without_toxic),
     ("near_dup", without_near_duplicates),
+    ("suffix_dedup", without_repeats),
     ("packing", packed_stage),
 ]
 ORACLE_SQL = None

@@ -13,11 +13,12 @@ from .language_id import op1_language_ppm
 from .matrix import op7_matrix_bfd
 from .near_dup import op3_near_dup_forest
 from .packing import op9_packing_dp
+from .repeats import op5_suffix_dedup
 from .toxicity import op4_toxicity_nnpu
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_ppm, op3_near_dup_forest, op4_toxicity_nnpu, op6_byte_bpe, op7_matrix_bfd, op8_embedding_dup, op9_packing_dp,
+    found = (op1_language_ppm, op3_near_dup_forest, op4_toxicity_nnpu, op5_suffix_dedup, op6_byte_bpe, op7_matrix_bfd, op8_embedding_dup, op9_packing_dp,
              op10_html_blocks)
     return {f.__name__: f for f in found}
 

@@ -24,7 +24,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 with np.errstate(over="ignore"):
     # One random value for each byte; the bytes A-Z have those of a-z.
-    BYTE_VALUE = mix((np.arange(256, dtype=U) + U(1)) * U(0x9E3779B97F4A7C15))[_LOWER]
+    RAW_VALUE = mix((np.arange(256, dtype=U) + U(1)) * U(0x9E3779B97F4A7C15))
+BYTE_VALUE = RAW_VALUE[_LOWER]
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -41,12 +42,12 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return kept_in_worker("powers", lambda: _made(usual)) if n <= usual else _made(n)
 
 
-def prefix_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def prefix_sums(data: np.ndarray, values: np.ndarray = BYTE_VALUE) -> tuple[np.ndarray, np.ndarray]:
     """Running sums S and inverse powers I with hash(a, b) = (S[b] - S[a]) * I[a]."""
     power, inverse = _tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, U)
     with np.errstate(over="ignore"):
-        np.cumsum(BYTE_VALUE[data] * power[:len(data)], out=sums[1:])
+        np.cumsum(values[data] * power[:len(data)], out=sums[1:])
     return sums, inverse
 
 
