@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import op2_multi_index_hashing
 from .bpe_fst import op6_byte_bpe
 from .embedding_dup import op8_embedding_dup
 from .html_text import op10_html_blocks
@@ -18,7 +19,7 @@ from .toxicity import op4_toxicity_nnpu
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_ppm, op3_near_dup_forest, op4_toxicity_nnpu, op5_suffix_dedup, op6_byte_bpe, op7_matrix_bfd, op8_embedding_dup, op9_packing_dp,
+    found = (op1_language_ppm, op2_multi_index_hashing, op3_near_dup_forest, op4_toxicity_nnpu, op5_suffix_dedup, op6_byte_bpe, op7_matrix_bfd, op8_embedding_dup, op9_packing_dp,
              op10_html_blocks)
     return {f.__name__: f for f in found}
 
