@@ -29,9 +29,9 @@ from .words import U, word_hashes
 PREFIXES = (3, 4, 5, 6, 7)
 POSITIVES, UNLABELLED = 3000, 9000   # rows of the fit
 FEATURES = 4000
-PURITY, SUPPORT = 0.4, 0.01            # least estimated share of toxic rows among those with a feature; least share of positives
+PURITY, SUPPORT = 0.6, 0.01            # least estimated share of toxic rows among those with a feature; least share of positives
 FEATURE_BITS = 22                    # hashed feature space of the fit
-EPOCHS, RATE, DECAY = 120, 0.3, 1e-3
+EPOCHS, RATE, DECAY = 150, 0.3, 3e-4
 
 
 def features_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
