@@ -29,7 +29,7 @@ EXCLUDED_DIRECTORIES = [
     ".git", ".svn", ".hg", ".vs", ".idea", "bin", "obj",
     "node_modules", "packages", "dist", "build", "target",
 ]
-ARTEFACT_SUFFIXES = [".bak", ".unicodechecker.tmp"]
+ARTEFACT_SUFFIXES = [".bak", ".unicodechecker.tmp", ".glyphaudit.tmp"]
 
 # Byte-order marks, longest first.
 BOMS = [

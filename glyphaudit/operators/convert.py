@@ -222,10 +222,16 @@ def convert(
     Needs ``source_encoding`` and ``source_has_bom``. Adds the target columns, ``result``, ``diagnostic`` and -
     except under ``what_if``, which plans without touching the content - the struct ``conversion`` whose
     ``output`` holds the converted bytes. With ``rerun`` the rows come from an earlier report: rows that cannot
-    be tried keep the target columns they arrived with.
+    be tried keep the target columns they arrived with. A file's row (with ``length`` and ``modificationTime``) whose content is
+    not as long as the file is an error.
     """
     base, want_bom = split_label(target_label)
     target = resolve(base)
+    if not what_if:
+        if content == "sample":
+            raise ValueError("samples cannot be converted: read the whole files")
+        if {"length", "modificationTime"} <= set(df.columns):  # a file's row: all of its bytes must be there
+            df = df.withColumn(content, F.when(F.length(content) == F.col("length"), F.col(content)))
     unknown = F.col("source_encoding") == UNKNOWN
     charset = canonical(F.col("source_encoding"))
     needs = needs_conversion(F.col("source_encoding"), F.col("source_has_bom"), base, want_bom)

@@ -4,20 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-BROADCAST_ROWS = 1_000_000
 
-
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a narrow table for broadcast if it is counted to have few rows; otherwise leave it to a shuffle join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _outcomes(df: DataFrame, path: str) -> DataFrame:
+    return df.select(F.col(path).alias("_path"), F.upper(path).alias("_key"),
+                     *[F.col(c).alias(f"outcome_{c}") for c in df.columns if c != path])
 
 
 def merge_outcomes(listed: DataFrame, outcomes: DataFrame, path: str = "path") -> DataFrame:
-    """Outcome columns for listed rows, matched by path ignoring case; unmatched outcomes are dropped."""
-    o = outcomes.select(
-        F.upper(path).alias("_key"), *[F.col(c).alias(f"outcome_{c}") for c in outcomes.columns if c != path]
-    )
-    return listed.withColumn("_key", F.upper(path)).join(o, "_key").drop("_key")
+    """Outcome columns for listed rows; unmatched outcomes are dropped.
+
+    Equal paths match. What is left on both sides matches ignoring case, but only where the folded path is unique on either
+    side: paths that differ by case alone are never mixed up.
+    """
+    found = _outcomes(outcomes, path)
+    exact = listed.join(found.drop("_key"), F.col(path) == F.col("_path")).drop("_path")
+    once = lambda df: df.groupBy("_key").count().where("count = 1").select("_key")
+    loose = listed.join(found.select("_path"), F.col(path) == F.col("_path"), "left_anti").withColumn("_key", F.upper(path))
+    free = found.join(listed.select(F.col(path).alias("_path")), "_path", "left_anti").drop("_path")
+    folded = loose.join(once(loose), "_key", "left_semi").join(free.join(once(free), "_key", "left_semi"), "_key").drop("_key")
+    return exact.unionByName(folded)
 
 
 def only_selected(df: DataFrame, selection: DataFrame, path: str = "path") -> DataFrame:
@@ -25,5 +30,5 @@ def only_selected(df: DataFrame, selection: DataFrame, path: str = "path") -> Da
 
 
 def corpus_of_report(report: DataFrame, corpus: DataFrame, path: str = "path") -> DataFrame:
-    """Contents for the rows of an earlier report; a report of moderate size does not shuffle the contents."""
-    return corpus.select(path, "content").join(sized(report), path)
+    """Contents for the rows of an earlier report. The join is left to the optimizer, which knows the report's bytes."""
+    return corpus.select(path, "content").join(report, path)

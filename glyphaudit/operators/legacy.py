@@ -57,6 +57,8 @@ MULTI_BYTE = [
     ("euc-kr", (0xB0, 0xC8), (-0.2, 1.0, 0.2, 0.2)),
     ("ks_c_5601-1987", (0xB0, 0xC8), (-0.2, 1.0, 0.2, 0.2)),
 ]
+# What other Latin pages must be better by than the Western ones.
+PRIOR = 0.12
 CANDIDATES = [c for c, _, _ in SINGLE_BYTE] + [c for c, _, _ in MULTI_BYTE]
 
 _RANKED_ARROW = pa.list_(pa.struct([
@@ -151,12 +153,13 @@ def _rank(v: np.ndarray, tables: tuple, known: dict[int, np.ndarray]) -> list[di
     score, invalid = hist @ weight / n_high, hist @ undefined
     controls, privates = head @ control, head @ private
     out = []
-    for c, (charset, _, block) in enumerate(SINGLE_BYTE):
+    for c, (charset, usual, block) in enumerate(SINGLE_BYTE):
         if invalid[c]:
             continue
-        misfit = inner if block == LATIN else 1 - inner
+        # runs of high bytes speak for other scripts, unless there is nothing but high bytes
+        misfit = 0.0 if n_high == len(v) else inner if block == LATIN else 1 - inner
         out.append({
-            "charset": charset, "priority": c, "score": float(score[c] - 0.6 * misfit),
+            "charset": charset, "priority": c, "score": float(score[c] - 0.6 * misfit - PRIOR * (block == LATIN and usual != WESTERN)),
             "head_scalars": min(len(v), TEXT_SCALARS), "head_controls": int(controls[c]),
             "head_private": bool(privates[c]),
         })

@@ -4,49 +4,48 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.constants import INVALID, SKIPPED, UNCHANGED, UNKNOWN
 from ..functions.labels import format_label
 
 
-def allow_list(df: DataFrame, labels: Iterable[str] | DataFrame) -> DataFrame:
-    """Distinct upper-cased labels as a one-column table."""
+MOST_LABELS = 10_000
+
+
+def allow_list(labels: Iterable[str] | DataFrame) -> list[str]:
+    """Distinct upper-cased labels. A table of labels is read to the driver; more than ``MOST_LABELS`` are refused, not cut."""
     if isinstance(labels, DataFrame):
-        return labels.select(F.upper(labels.columns[0]).alias("_allowed")).distinct()
-    rows = sorted({(label.upper(),) for label in labels})
-    if not rows:
-        raise ValueError("the list of accepted charsets is empty")
-    return df.sparkSession.createDataFrame(rows, "_allowed string")
+        rows = labels.select(F.upper(labels.columns[0]).alias("label")).where("label is not null").distinct().limit(MOST_LABELS + 1).collect()
+        names = sorted(r.label for r in rows)
+    else:
+        names = sorted({label.upper() for label in labels})
+        if not names:
+            raise ValueError("the list of accepted charsets is empty")
+    if len(names) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} accepted charsets")
+    return names
 
 
-def _key():
-    return F.upper(format_label(F.col("source_encoding"), F.col("source_has_bom")))
+def is_accepted(labels: Iterable[str] | DataFrame) -> Column:
+    """True where the source label is on the list; never for unknown rows. A filter, so no row is shuffled."""
+    key = F.upper(format_label(F.col("source_encoding"), F.col("source_has_bom")))
+    return F.coalesce(key.isin(allow_list(labels)) & (F.col("source_encoding") != UNKNOWN), F.lit(False))
 
 
 def accepted(df: DataFrame, labels: Iterable[str] | DataFrame) -> DataFrame:
-    """Rows whose label is on the list. The join strategy is left to the size check of the optimizer."""
-    known = df.filter(F.col("source_encoding") != UNKNOWN)
-    return known.join(allow_list(df, labels), _key() == F.col("_allowed"), "left_semi")
+    """Rows whose label is on the list."""
+    return df.filter(is_accepted(labels))
 
 
 def rejected(df: DataFrame, labels: Iterable[str] | DataFrame) -> DataFrame:
     """Rows whose label is not on the list; unknown rows are always rejected."""
-    listed = allow_list(df, labels)
-    return df.join(
-        listed, (_key() == F.col("_allowed")) & (F.col("source_encoding") != UNKNOWN), "left_anti"
-    )
+    return df.filter(~is_accepted(labels))
 
 
 def validate(df: DataFrame, labels: Iterable[str] | DataFrame) -> DataFrame:
     """Unchanged or Invalid per row; the target columns mirror the source."""
-    listed = allow_list(df, labels)
-    joined = df.join(
-        listed, (_key() == F.col("_allowed")) & (F.col("source_encoding") != UNKNOWN), "left"
-    )
-    return _mirror(joined).withColumn(
-        "result", F.when(F.col("_allowed").isNotNull(), UNCHANGED).otherwise(INVALID)
-    ).drop("_allowed")
+    return _mirror(df).withColumn("result", F.when(is_accepted(labels), UNCHANGED).otherwise(INVALID))
 
 
 def report_detected(df: DataFrame) -> DataFrame:

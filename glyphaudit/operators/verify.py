@@ -8,7 +8,6 @@ from ..functions.arrow import once, transcode_facts
 from ..functions.charsets import BOM_OF, resolve
 from ..functions.labels import split_label
 from .convert import mismatch_message, utf16_sha256, utf16_units
-from .joins import sized
 
 OUTCOME = ["source_encoding", "source_has_bom", "target_encoding", "target_has_bom", "result"]
 
@@ -76,7 +75,7 @@ def flag_stale_sources(converted: DataFrame, listing: DataFrame, path: str = "pa
     ``listing`` is a fresh (path, length, modificationTime) listing. Only these narrow columns are joined to find
     the stale paths; the converted bytes are not shuffled unless very many files changed.
     """
-    stale = sized(stale_paths(converted, listing, path)).withColumn("_stale", F.lit(True))
+    stale = stale_paths(converted, listing, path).withColumn("_stale", F.lit(True))
     hit = F.col("_stale").isNotNull() & (F.col("result") == "Converted")
     message = "SourceChangedDuringConversion: the source changed while it was being converted"
     return (

@@ -52,13 +52,18 @@ def with_source(df: DataFrame, content: str = "content", sample_bytes: int = SAM
 
 def audit(
     corpus: DataFrame, action: str = "detect", target: str | None = None,
-    accepted: Iterable[str] | DataFrame | None = None, what_if: bool = False, content: str = "content",
+    accepted: Iterable[str] | DataFrame | None = None, what_if: bool = False, content: str | None = None,
 ) -> DataFrame:
     """Detect every row of ``corpus`` and apply the action; all columns are kept.
 
-    A row with a ``read_error`` becomes an error row instead of failing the job.
+    The bytes are in ``content``, or in ``sample`` where only prefixes were read; samples are detected, validated and planned
+    for, never converted. A row with a ``read_error`` becomes an error row instead of failing the job.
     """
     check_options(action, target=target, accepted=accepted)
+    if content is None:
+        content = "content" if "content" in corpus.columns or "sample" not in corpus.columns else "sample"
+    if content == "sample" and action == "convert" and not what_if:
+        raise ValueError("a corpus of samples cannot be converted: read the whole files")
     tune(corpus.sparkSession)
     readable = corpus
     errors = "read_error" in corpus.columns

@@ -95,7 +95,7 @@ def src2_top_level_predicate(spark, sf):
 def src3_prefix_scan(spark, sf):
     df = scan_prefixes(spark, _tree(spark, sf), sample_bytes=4096)
     return df.select(
-        "rel", "length", F.length("content").cast("bigint").alias("sampled"), _sha(_c("content")).alias("sha256")
+        "rel", "length", F.length("sample").cast("bigint").alias("sampled"), _sha(_c("sample")).alias("sha256")
     )
 
 
@@ -739,12 +739,28 @@ cnv4_to_latin1 = _to("iso-8859-1")
 cnv4_to_windows1252 = _to("windows-1252")
 cnv4_to_ascii = _to("us-ascii")
 
-PREFIXES = ("src", "snk", "prd", "join", "agg", "sort", "set", "lbl", "det", "txt", "leg", "val", "cnv", "ver",
-            "err", "str", "udf")
+QUERIES = (
+    "src1_recursive_scan", "src1_binary_file", "src2_top_level", "src2_top_level_predicate", "src3_prefix_scan",
+    "src4_byte_column", "src5_empty_and_hidden", "src6_unreadable", "src7_unlistable_directory", "src8_prior_report",
+    "src9_checked_options", "snk1_csv_report", "snk1_csv_round_trip", "snk2_csv_line", "snk3_tab_export",
+    "snk4_converted_corpus", "snk5_backup", "prd1_include_masks", "prd2_exclude_masks", "prd3_mask_regex",
+    "prd4_excluded_directories", "prd5_artefacts", "prd6_one_path", "prd7_mask_list", "prd8_hide_passing",
+    "prd9_needs_conversion", "prd10_display_columns", "prd11_effective_label", "prd_candidates", "join1_merge_outcomes",
+    "join2_selected_rows", "join3_accepted", "join4_rejected", "join5_resolve_names", "join6_stale_sources",
+    "join7_compare_runs", "join8_legacy_trials", "agg1_count_by_result", "agg2_totals", "agg3_files_processed",
+    "agg4_convert_summary", "agg5_gate", "agg6_byte_histogram", "agg6_byte_histogram_relational", "agg7_lane_histogram",
+    "agg8_entropy", "agg8_entropy_relational", "agg9_nul_density", "agg10_chi_square", "agg11_printable_fraction",
+    "agg12_byte_totals", "agg13_not_correct", "sort1_report_order", "sort2_by_label", "sort2_by_label_descending", "sort3_caps",
+    "set1_good_and_failed", "lbl1_parse_label", "lbl2_format_label", "lbl3_round_trip", "lbl4_yes_no", "lbl5_supported_labels",
+    "det1_binary_gate", "det2_bom", "det3_utf32", "det4_utf16", "det5_ascii", "det6_utf8", "det7_cascade", "det7_label_counts",
+    "det7_pages", "txt1_strict_utf8", "txt2_looks_like_text", "txt3_valid_text", "leg1_pick", "val1_validate", "val2_detect",
+    "val2_detect_bytes", "cnv1_convert_detected", "cnv2_dry_run", "cnv3_bom_feasibility", "cnv5_idempotent", "cnv6_prior_rows",
+    "ver1_digest", "ver2_verify", "ver3_messages", "err1_codes", "err2_diagnostics", "err3_error_lines", "str1_incremental_report",
+    "str2_running_counts", "udf1_detect_charset", "udf2_transcode", "udf3_is_valid_text", "cnv4_to_utf8", "cnv4_to_utf8_arrow",
+    "cnv4_to_utf16le_bom", "cnv4_to_utf16be", "cnv4_to_utf32le_bom", "cnv4_to_utf32be", "cnv4_to_latin1", "cnv4_to_windows1252",
+    "cnv4_to_ascii",
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        name: f for name, f in globals().items()
-        if callable(f) and name.split("_")[0].rstrip("0123456789") in PREFIXES and name != "strict_head"
-    }
+    return {name: globals()[name] for name in QUERIES}

@@ -98,7 +98,7 @@ LE16_OK, BE16_OK = f"(le16 and {_valid(WHOLE16, 2, True)})", f"(be16 and {_valid
 EXCLUDED = ("list_has_any(list_transform(string_split(rel,'/')[:-2], lambda d: lower(d)), ['.git','.svn','.hg','.vs','.idea',"
             "'bin','obj','node_modules','packages','dist','build','target'])")
 NAME = "regexp_extract({0},'[^/]*$')"
-ARTEFACT = "(ends_with(lower(rel),'.bak') or ends_with(lower(rel),'.unicodechecker.tmp'))"
+ARTEFACT = "(ends_with(lower(rel),'.bak') or ends_with(lower(rel),'.unicodechecker.tmp') or ends_with(lower(rel),'.glyphaudit.tmp'))"
 DIR = "regexp_replace({0},'/?[^/]*$','')"
 P = f"p as (select doc_id, {PATHS} as rel, lang, source, text from documents)"
 R = f"r as ({REPORT})"

@@ -57,9 +57,16 @@ def write_converted(converted: DataFrame, path: str) -> None:
 def write_backup(planned: DataFrame, path: str) -> None:
     """Originals of the rows a dry run would convert, kept whatever becomes of the conversion.
 
-    A plan still carries its contents, so this is a filter and never joins the corpus with itself.
+    A plan still carries its contents, so this is a filter and never joins the corpus with itself. Samples are refused, and
+    contents shorter or longer than their file stop the write.
     """
+    if "content" not in planned.columns:
+        raise ValueError("a backup needs whole contents, not samples")
     chosen = planned.filter("result = 'Converted'")
+    if {"length", "modificationTime"} <= set(planned.columns):
+        whole = F.length("content") == F.col("length")
+        broken = F.raise_error(F.concat(F.lit("the content is not the whole file: "), "path")).cast("binary")
+        chosen = chosen.withColumn("content", F.when(whole, F.col("content")).otherwise(broken))
     chosen.select("path", "content").write.mode("overwrite").parquet(path)
 
 
@@ -78,7 +85,7 @@ def _file_writer(base: str):
                     system.create_dir(parent, recursive=True)
                     made.add(parent)
                 # a retried or speculative task may write the same file: move a finished one into place
-                part = f"{parent}/.{uuid.uuid4().hex}.unicodechecker.tmp"
+                part = f"{parent}/.{uuid.uuid4().hex}.glyphaudit.tmp"
                 data = content.as_buffer() or b""
                 with system.open_output_stream(part) as f:
                     f.write(data)

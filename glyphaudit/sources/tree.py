@@ -22,24 +22,38 @@ _LISTED_ARROW = pa.schema([
     ("kind", pa.string()), ("path", pa.string()), ("rel", pa.string()), ("length", pa.int64()),
     ("modificationTime", pa.timestamp("us", tz="UTC")), ("list_error", pa.string()),
 ])
-READ = "path string, rel string, length bigint, modificationTime timestamp, content binary, read_error string"
-_READ_ARROW = pa.schema([
-    ("path", pa.string()), ("rel", pa.string()), ("length", pa.int64()),
-    ("modificationTime", pa.timestamp("us", tz="UTC")), ("content", pa.binary()), ("read_error", pa.string()),
-])
+READ = "path string, rel string, length bigint, modificationTime timestamp, {} binary, read_error string"
+CHANGED = "SourceChangedDuringConversion: the file changed while it was read"
 READ_BATCH_BYTES = 32 << 20
 # A row holds a value of at most 2 GB; larger files can be detected from a prefix but not read whole.
 ROW_BYTES = (1 << 31) - (1 << 20)
 SLICE_BYTES, SLICE_FILES = 128 << 20, 20_000
 
 
-def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    """File system and inner path of a plain path or a URI, on the driver or in a task."""
+def _open(path: str, known: dict | None = None) -> tuple[pafs.FileSystem, str]:
+    """File system and inner path of a plain path or a URI, on the driver or in a task.
+
+    ``known`` keeps one file system per scheme and authority.
+    """
     if "://" not in path:
         path = f"file://{_quote(path)}"
     elif path.startswith("s3a://"):
         path = "s3://" + path.removeprefix("s3a://")
-    return pafs.FileSystem.from_uri(path)
+    if known is None:
+        return pafs.FileSystem.from_uri(path)
+    scheme, _, rest = path.partition("://")
+    authority = rest.split("/", 1)[0]
+    if (scheme, authority) not in known:
+        system, inner = pafs.FileSystem.from_uri(path)
+        known[scheme, authority] = system, bool(authority) and inner.startswith(authority)
+    system, with_authority = known[scheme, authority]
+    return system, _unquote(rest if with_authority else rest[len(authority):])
+
+
+def _unquote(path: str) -> str:
+    from urllib.parse import unquote
+
+    return unquote(path)
 
 
 def _quote(path: str) -> str:
@@ -58,10 +72,10 @@ def _child(parent: str, name: str) -> str:
     return f"{parent.rstrip('/')}/{name}"
 
 
-def _list_directory(path: str, rel: str) -> Iterator[dict]:
+def _list_directory(path: str, rel: str, known: dict) -> Iterator[dict]:
     """Rows for the entries of one directory; a row of kind "error" when it cannot be listed."""
     try:
-        system, inner = _open(path)
+        system, inner = _open(path, known)
         entries = system.get_file_info(pafs.FileSelector(inner, recursive=False))
     except (OSError, ValueError) as e:
         yield {"kind": "error", "path": path, "rel": rel, "list_error": str(e)}
@@ -90,9 +104,10 @@ def _batches(rows: Iterator[dict], schema: pa.Schema, size: int = 4096) -> Itera
 
 def _list_many(directories: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows():
+        known: dict = {}
         for batch in directories:
             for d in batch.to_pylist():
-                yield from _list_directory(d["path"], d["rel"])
+                yield from _list_directory(d["path"], d["rel"], known)
 
     yield from _batches(rows(), _LISTED_ARROW)
 
@@ -142,40 +157,55 @@ def listed_files(
     return listing.filter(keep).select("path", "rel", "length", "modificationTime")
 
 
-def _reader(max_bytes: int | None):
+def _reader(max_bytes: int | None, column: str):
     def read_many(files: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending, held = [], 0
+        schema = pa.schema([
+            ("path", pa.string()), ("rel", pa.string()), ("length", pa.int64()),
+            ("modificationTime", pa.timestamp("us", tz="UTC")), (column, pa.binary()), ("read_error", pa.string()),
+        ])
+        pending, held, known = [], 0, {}
         for batch in files:
             for row in batch.to_pylist():
-                content = error = None
+                data = error = None
                 try:
-                    if max_bytes is None and row["length"] > ROW_BYTES:
-                        raise ValueError(f"{row['length']} bytes are more than one row can hold")
-                    system, inner = _open(row["path"])
+                    system, inner = _open(row["path"], known)
+                    before = system.get_file_info(inner)
+                    if before.type != pafs.FileType.File:
+                        raise FileNotFoundError(f"no such file: {row['path']}")
+                    # length and time are those at opening, not those of an older listing
+                    row |= {"length": before.size, "modificationTime": before.mtime}
+                    if max_bytes is None and before.size > ROW_BYTES:
+                        raise ValueError(f"{before.size} bytes are more than one row can hold")
                     with system.open_input_file(inner) as f:
-                        content = f.read(max_bytes) if max_bytes is not None else f.read()
+                        data = f.read(max_bytes) if max_bytes is not None else f.read()
+                    after = system.get_file_info(inner)
+                    whole = before.size if max_bytes is None else min(before.size, max_bytes)
+                    if (after.size, after.mtime) != (before.size, before.mtime) or len(data) != whole:
+                        raise ValueError(CHANGED)
                 except (OSError, ValueError) as e:
-                    error = str(e)
-                pending.append({**row, "content": content, "read_error": error})
-                held += len(content or b"")
-                if held >= READ_BATCH_BYTES or len(pending) >= 4096:
-                    yield pa.RecordBatch.from_pylist(pending, schema=_READ_ARROW)
+                    data, error = None, str(e)
+                if pending and (held + len(data or b"") > READ_BATCH_BYTES or len(pending) >= 4096):
+                    yield pa.RecordBatch.from_pylist(pending, schema=schema)
                     pending, held = [], 0
+                pending.append({**row, column: data, "read_error": error})
+                held += len(data or b"")
         if pending:
-            yield pa.RecordBatch.from_pylist(pending, schema=_READ_ARROW)
+            yield pa.RecordBatch.from_pylist(pending, schema=schema)
 
     return read_many
 
 
 def read_files(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
-    """Contents of listed files, or their first ``max_bytes``; a file that cannot be read keeps its row.
+    """Listed files with their ``content``, or with a ``sample`` of their first ``max_bytes``.
 
-    The files are dealt out evenly first: a listing has one partition per batch of directories, and one
-    directory may hold most files.
+    A file that cannot be read, or that changes meanwhile, keeps its row and says so in ``read_error``. A sample never bears
+    the name of a content, so it cannot be converted or backed up as one. The files are dealt out evenly first: a listing has
+    one partition per batch of directories, and one directory may hold most files.
     """
     rows = files.select("path", "rel", "length", "modificationTime")
     spread = rows.repartition(_slices(rows, max_bytes))
-    return spread.mapInArrow(_reader(max_bytes), READ)
+    column = "content" if max_bytes is None else "sample"
+    return spread.mapInArrow(_reader(max_bytes, column), READ.format(column))
 
 
 def _slices(files: DataFrame, max_bytes: int | None) -> int:
@@ -189,7 +219,7 @@ def scan_prefixes(
     spark: SparkSession, base: str, recursive: bool = True, include: list[str] | None = None,
     exclude: list[str] | None = None, excluded_path: str | None = None, sample_bytes: int = SAMPLE_BYTES,
 ) -> DataFrame:
-    """(path, rel, length, modificationTime, content, read_error) with at most ``sample_bytes`` per file."""
+    """(path, rel, length, modificationTime, sample, read_error) with at most ``sample_bytes`` per file."""
     if sample_bytes <= 0:
         raise ValueError("sample_bytes must be positive")
     listing = list_tree(spark, base, recursive)
@@ -200,14 +230,11 @@ def scan_files(
     spark: SparkSession, base: str, recursive: bool = True, include: list[str] | None = None,
     exclude: list[str] | None = None, excluded_path: str | None = None,
 ) -> DataFrame:
-    """Like ``scan_prefixes`` with whole contents."""
+    """Like ``scan_prefixes``, with the whole ``content``."""
     listing = list_tree(spark, base, recursive)
     return read_files(listed_files(listing, include, exclude, excluded_path))
 
 
-def scan_binary_files(spark: SparkSession, base: str, recursive: bool = True, max_length: int | None = None) -> DataFrame:
+def scan_binary_files(spark: SparkSession, base: str, recursive: bool = True) -> DataFrame:
     """Spark's own reader, for trees without empty or hidden files: (path, modificationTime, length, content)."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    df = reader.load(base)
-    # length is pushed down: larger files are not opened
-    return df if max_length is None else df.filter(F.col("length") <= max_length)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(base)

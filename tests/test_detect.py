@@ -7,8 +7,8 @@ import brute
 from glyphaudit.functions.sql import register_functions
 from glyphaudit.operators.detect import detect
 
-ASCII = "Hello, World! 123\r\nSecond line here.\r\n"
-MULTI = ("Hello 世界 مرحبا بالعالم Привет мир Γειά σου κόσμε שלום עולם 안녕하세요 세계 🌍🎉\r\nSecond line here.\r\n")
+ASCII = "A plain note: 42 boxes, 7 crates.\r\nNothing else in store.\r\n"
+MULTI = "Ship 船 باخرة корабль πλοίο אונייה 배 🚢⚓\r\nAll of it arrived: 全部 всё όλα.\r\n"
 CODECS = {"utf-8": "utf-8", "utf-16": "utf-16-le", "utf-16BE": "utf-16-be", "utf-32": "utf-32-le", "utf-32BE": "utf-32-be"}
 
 
@@ -87,6 +87,11 @@ def test_sample_size_must_be_positive(buffers):
     ("windows-1253", "cp1253", "Η γρήγορη αλεπού πηδάει πάνω από το τεμπέλικο σκυλί και μετά κοιμάται."),
     ("windows-1255", "cp1255", "דג סקרן שט בים מאוכזב ולפתע מצא לו חברה נחמדה"),
     ("windows-1252", "cp1252", "Le cœur déçu mais l'âme plutôt naïve, Louÿs rêva de crapaüter à l'été."),
+    ("windows-1252", "cp1252", "El niño pequeño comió jamón, ¿qué más podría pedir la señora?"),
+    ("windows-1252", "cp1252", "Die Bäckerin grüßte höflich über den Zaun, während der Hund müde gähnte."),
+    ("windows-1252", "cp1252", "O coração não conhece razões; amanhã virão os irmãos."),
+    ("windows-1250", "cp1250", "Zażółć gęślą jaźń, mówiła żona do męża nad rzeką."),
+    ("iso-8859-9", "iso8859-9", "Işık hızıyla koşan çocuğun şapkası düştü, güneş doğdu."),
     ("windows-1250", "cp1250", "Příliš žluťoučký kůň úpěl ďábelské ódy, řekl starý šnek."),
     ("shift_jis", "cp932", "いろはにほへとちりぬるを。日本語の文章です。カタカナも少し。"),
     ("euc-jp", "euc_jp", "いろはにほへとちりぬるを。日本語の文章です。カタカナも少し。"),
@@ -99,6 +104,10 @@ def test_legacy_pick_on_plain_text(buffers, charset, codec, text):
     assert found(buffers([text.encode(codec)]))[0] == (charset, False)
 
 
+def test_nothing_but_high_bytes_is_not_taken_for_another_script(buffers):
+    assert found(buffers([("é" * 50).encode("latin-1")]))[0][0] == "windows-1252"
+
+
 def test_result_does_not_depend_on_partitioning(buffers):
     values = awkward()[:300]
     from glyphaudit.operators.validate import report_detected

@@ -10,6 +10,7 @@ import __spark_entry__ as entry
 from glyphaudit.operators import profile as prof
 from glyphaudit.operators.convert import convert
 from glyphaudit.operators.detect import detect, sample_of
+from glyphaudit.operators.joins import merge_outcomes
 from glyphaudit.operators.report import report_order, sort_rows, with_position
 from glyphaudit.plans.audit import audit, with_source
 
@@ -45,6 +46,22 @@ def test_conversion_does_not_shuffle(stored):
     assert len(p) < 60000  # the chained helpers must not be copied into each other
 
 
+def test_validation_does_not_shuffle(spark, stored):
+    listed = spark.createDataFrame([("utf-8",), ("US-ASCII",)], "label string")
+    for labels in (["utf-8", "us-ascii"], listed):
+        p = plan(audit(stored, action="validate", accepted=labels))
+        assert "Exchange" not in p and "Join" not in p
+    with pytest.raises(ValueError):
+        audit(stored, action="validate", accepted=spark.range(10_001).selectExpr("cast(id as string)"))
+
+
+def test_paths_that_differ_by_case_are_not_mixed_up(spark):
+    listed = spark.createDataFrame([("a.txt",), ("A.txt",), ("b.txt",), ("c.txt",), ("C.TXT",)], "path string")
+    outcomes = spark.createDataFrame([("a.txt", 1), ("A.txt", 2), ("B.TXT", 3), ("C.txt", 4), ("gone", 5)], "path string, result int")
+    got = sorted(tuple(r) for r in merge_outcomes(listed, outcomes).collect())
+    assert got == [("A.txt", 2), ("a.txt", 1), ("b.txt", 3)]
+
+
 def test_dry_run_leaves_content_in_the_file(stored):
     known = stored.withColumns({"source_encoding": F.lit("utf-8"), "source_has_bom": F.lit(False)})
     p = plan(convert(known, "utf-16", what_if=True).select("path", "result"))
