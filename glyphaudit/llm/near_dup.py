@@ -8,7 +8,8 @@ crowded regions the depth adapts. With likeness 0.85 a pair misses a region in a
 
 Candidates whose signatures agree too little are dropped, the rest confirmed on the full sets, which are computed from the texts of the two
 documents. First each class's best candidate is confirmed; then only those candidates between different components of the confirmed
-links. So a group of n near copies costs about n confirmations, and the components are those of all confirmed candidates.
+links. So a group of n near copies costs about n confirmations. Last, in regions larger than the sorted order has met all of, every class outside
+the region's largest component meets all other components, so that no candidate of a region is left out.
 
 Defined cases: texts without a word (null, empty, white space) have size 0 and are linked with nothing; rows of one id and text are
 one document; a null id is never a representative, its component is that of its class, or null; other columns are ignored.
@@ -26,6 +27,7 @@ from .words import U, mix, word_hashes
 
 SHINGLE = 5
 HASHES, TREES, DEPTH, NEIGHBOURS = 128, 16, 4, 4
+BLOCK = 8192            # classes of a crowded region that meet in one task
 THRESHOLD = (85, 100)   # linked if 100 * intersection >= 85 * union
 AGREEMENT = 88          # least number of equal signature values: five standard deviations below 0.85 * 128
 
@@ -93,8 +95,8 @@ def described(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
         run, "doc_id long, n_shingles long, cls long, sig binary")
 
 
-def forest(classes: DataFrame) -> DataFrame:
-    """(a, b) candidate classes, a < b: successors in the sorted orders that share a region."""
+def ordered(classes: DataFrame) -> DataFrame:
+    """(tree, region, rest, cls): the place of every class in every tree."""
     def order(batches):
         schema = pa.schema([("tree", pa.int32()), ("region", pa.int64()), ("rest", pa.binary()), ("cls", pa.int64())])
         for batch in batches:
@@ -110,6 +112,11 @@ def forest(classes: DataFrame) -> DataFrame:
                 rest = np.ascontiguousarray(turned[:, DEPTH:DEPTH + 16])
                 yield emit(schema, [np.full(n, t, np.int32), region, fixed_binary(rest), batch.column(0)])
 
+    return classes.select("cls", "sig").mapInArrow(order, "tree int, region long, rest binary, cls long")
+
+
+def forest(classes: DataFrame) -> DataFrame:
+    """(a, b) candidate classes, a < b: successors in the sorted orders that share a region."""
     def meet(batches):
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         tree = region = cls = np.zeros(0, np.int64)
@@ -127,8 +134,7 @@ def forest(classes: DataFrame) -> DataFrame:
                 yield emit(schema, [pairs.min(axis=0), pairs.max(axis=0)])
             tree, region, cls = tree[-NEIGHBOURS:], region[-NEIGHBOURS:], cls[-NEIGHBOURS:]
 
-    rows = classes.select("cls", "sig").mapInArrow(order, "tree int, region long, rest binary, cls long")
-    dealt = rows.repartition("tree", "region").sortWithinPartitions("tree", "region", "rest", "cls")
+    dealt = ordered(classes).repartition("tree", "region").sortWithinPartitions("tree", "region", "rest", "cls")
     return dealt.mapInArrow(meet, "a long, b long").where("a <> b").distinct()
 
 
@@ -150,6 +156,45 @@ def promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return joined.mapInArrow(agree, "a long, b long, agreement int")
 
 
+def crowded(classes: DataFrame, groups: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b) promising pairs of different components in regions too large for the sorted order to have met all.
+
+    A region's largest component is connected already; every other class of the region meets all classes of other components, in blocks
+    of bounded size, and only pairs whose signatures agree are given out.
+    """
+    place = ordered(classes).select("tree", "region", "cls").join(groups.withColumnsRenamed({"id": "cls"}), "cls", "left").withColumn(
+        "component", F.coalesce("component", "cls"))
+    parts = place.groupBy("tree", "region", "component").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("tree", "region").agg(F.sum("n").alias("size"), F.count("*").alias("kinds"), F.max(F.struct("n", "component")).alias("top")).where(
+        (F.col("kinds") > 1) & (F.col("size") > NEIGHBOURS + 1))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / block)).cast("int")
+    mixed = mixed.select("tree", "region", F.col("top.component").alias("main"), blocks(F.col("size") - F.col("top.n")).alias("i_parts"),
+                         blocks(F.col("size")).alias("j_parts"))
+    rows = place.join(mixed, ["tree", "region"]).join(classes.select("cls", "sig"), "cls")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = lambda n, seed: F.pmod(F.xxhash64("cls", F.lit(seed)), F.col(n)).cast("int")
+    columns = ["tree", "region", "i", "j", "minor", "cls", "component", "sig"]
+    minor = rows.where("component <> main").withColumns({"minor": F.lit(True), "i": mine("i_parts", 1), "j": every("j_parts")}).select(columns)
+    whole = rows.withColumns({"minor": F.lit(False), "j": mine("j_parts", 2), "i": every("i_parts")}).select(columns)
+
+    def meet(part: pa.Table) -> pa.Table:
+        minor, cls, component = (part.column(c).to_numpy() for c in ("minor", "cls", "component"))
+        sig = np.stack([np.frombuffer(x, "<u2") for x in part.column("sig").to_pylist()])
+        left, right = np.flatnonzero(minor), np.flatnonzero(~minor)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        other = np.ascontiguousarray(sig[right].T)
+        for i in left.tolist():
+            same = np.zeros(len(right), np.int16)
+            for k in range(HASHES):
+                same += other[k] == sig[i, k]
+            hit = right[(same >= AGREEMENT) & (component[right] != component[i])]
+            a.append(np.minimum(cls[hit], cls[i]))
+            b.append(np.maximum(cls[hit], cls[i]))
+        return pa.table([np.concatenate(a), np.concatenate(b)], schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return minor.union(whole).groupBy("tree", "region", "i", "j").applyInArrow(meet, "a long, b long").distinct()
+
+
 def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b) of the pairs that are links on their full sets. ``texts``: (doc_id, text)."""
     ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("cls")).join(classes.select("cls", "rep"), "cls")
@@ -203,7 +248,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     open_ = pairs.join(best, ["a", "b"], "left_anti").join(left, "a", "left").join(right, "b", "left").where(
         F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     more = stored(confirmed(open_, classes, texts), "links")
-    groups = stored(components(links.union(more)), "groups")
+    links = links.union(more)
+    groups = stored(components(links), "groups")
+    rest = stored(confirmed(stored(crowded(classes, groups), "crowded"), classes, texts), "links")
+    groups = stored(components(links.union(rest)), "groups")
     least = groups.join(classes.select(F.col("cls").alias("id"), "rep"), "id").groupBy("component").agg(F.min("rep").alias("component_id"))
     of_class = groups.join(least, "component").select(F.col("id").alias("cls"), "component_id")
     final = classes.select("cls", "rep").join(of_class, "cls", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id"))

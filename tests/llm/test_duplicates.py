@@ -73,6 +73,25 @@ def test_near_duplicates_equal_brute_force(documents):
     assert {x.doc_id for x in kept.collect()} == {i for i in names if want[i] == i} | {None}
 
 
+def test_crowded_regions_lose_no_link(documents, monkeypatch):
+    """Near copies of one text, many barely linked, while the sorted order meets next to none."""
+    monkeypatch.setattr(nd, "NEIGHBOURS", 1)
+    monkeypatch.setattr(nd, "BLOCK", 50)
+    r = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base = [r.choice(vocabulary) for _ in range(120)]
+    rows = []
+    for i in range(250):
+        words = list(base)
+        for _ in range(r.choice([1, 1, 2, 2, 3, 4])):
+            words[r.randrange(120)] = r.choice(vocabulary)
+        rows.append((i, " ".join(words), "en"))
+    sets = [shingle_set(t) for _, t, _ in rows]
+    edges = [(a, b) for a in range(250) for b in range(a + 1, 250) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    want = grouped(range(250), edges)
+    assert {x.doc_id: x.component_id for x in nd.near_duplicates(documents(rows)).collect()} == want
+
+
 @pytest.mark.parametrize("depth", [1, 3])
 def test_deep_shallow_sort(depth):
     r = random.Random(3)
