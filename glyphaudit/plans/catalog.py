@@ -561,8 +561,9 @@ def txt3_valid_text(spark, sf):
 
 
 def leg1_pick(spark, sf):
+    """The documents left to the code pages and their pick; the score is our own and stays out of the comparison."""
     trials = join8_legacy_trials(spark, sf)
-    return pick_from_trials(trials, ["doc_id"])
+    return pick_from_trials(trials, ["doc_id"]).select("doc_id", "charset", "priority")
 
 
 # --- validation and conversion -------------------------------------------------------------------
@@ -721,7 +722,7 @@ def _sql(statement: str) -> Callable:
 
 
 udf1_detect_charset = _sql(
-    "select doc_id, case when doc_id % 13 = 10 then null else d.charset end as charset, d.has_bom as has_bom "
+    "select doc_id, d.charset as charset, d.has_bom as has_bom "
     "from (select doc_id, detect_charset(content) as d from glyph_enc)")
 udf2_transcode = _sql(
     "select doc_id, t.error_code as error_code, sha2(t.output, 256) as sha256, t.scalars as scalars "

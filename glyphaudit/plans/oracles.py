@@ -285,7 +285,13 @@ def oracle_sql() -> dict[str, str]:
  when {ASCII} then 'us-ascii' when {UTF8_TEXT} then 'utf-8' else '(Unknown)' end as charset from cand)
  select doc_id, CHARSET as charset, mark is not null and not bin as has_bom from d"""
     o["det7_cascade"] = cascade.replace("CHARSET", "charset")
-    o["udf1_detect_charset"] = cascade.replace("CHARSET", "case when doc_id % 13 <> 10 then charset end")
+    # form 10 is Western text in single bytes, which only the code pages can claim
+    paged = "case when doc_id % 13 = 10 and charset = '(Unknown)' then 'windows-1252' else charset end"
+    o["udf1_detect_charset"] = cascade.replace("CHARSET", paged)
+    o["det7_label_counts"] = (f"with found as ({cascade.replace('CHARSET', paged)}) select charset || case when has_bom then '-bom' else '' end as label, "
+                              "count(*) as documents from found group by 1")
+    o["leg1_pick"] = (f"with found as ({cascade.replace('CHARSET', 'charset')}) select doc_id, 'windows-1252' as charset, 0 as priority from found "
+                      "where doc_id % 13 = 10 and charset = '(Unknown)'")
     o["det7_pages"] = (f"with smp as (select page_id, substring(hex(encode(html)),1,131072) s from pages) select page_id, case when s='' then "
                        f"'(Unknown)' when {ASCII} then 'us-ascii' when {UTF8_TEXT} then 'utf-8' else '(Unknown)' end as charset, false as has_bom from smp")
     o["txt1_strict_utf8"] = f"""with {SMP}, cut as (select doc_id, substring(hex(encode(text)),1,2*octet_length(encode(
