@@ -97,10 +97,29 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("sha", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).withColumn("cls", F.xxhash64("sha"))
 
 
+ANCHORS = pa.schema([(n, pa.int64()) for n in ("gram", "cls", "place", "context", "stop")])
+
+
+def _known(row: np.ndarray, place: np.ndarray, gram: np.ndarray, context: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list]:
+    """Anchors to go on with, and (row, start, stop) that are repeats already: of equal contexts seen together one goes on."""
+    order = np.lexsort((context, gram))
+    same = (gram[order][1:] == gram[order][:-1]) & (context[order][1:] == context[order][:-1])
+    again, several = np.concatenate([[False], same]), np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    members = np.sort(order[several])
+    start, stop = np.maximum(place[members] - REACH, 0), np.minimum(place[members] + WINDOW, sizes[row[members]])
+    wide = stop - start >= WINDOW
+    r, start, stop = row[members][wide], start[wide], stop[wide]
+    # in order of place; neighbours that touch are one stretch
+    new = np.concatenate([[True], (r[1:] != r[:-1]) | (start[1:] > stop[:-1])]) if len(r) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(r)) - 1 if len(r) else first
+    return np.sort(order[~again]), [r[first], start[first], stop[last]]
+
+
 def repeated_anchors(texts: DataFrame) -> DataFrame:
-    """(gram, cls, place, context) of the anchors whose gram occurs twice at least."""
+    """(gram, cls, place, context, stop): where stop is 0, an anchor whose gram occurs twice at least, else a stretch from place to stop that
+    is known to repeat. Equal contexts are collapsed before the shuffle, so a passage or line however frequent sends a row per slice."""
     def find(batches):
-        schema = pa.schema([("gram", pa.int64()), ("cls", pa.int64()), ("place", pa.int64()), ("context", pa.int64())])
         done: set[int] = set()
         for batch in batches:
             cls = batch.column(0).to_numpy()
@@ -108,35 +127,40 @@ def repeated_anchors(texts: DataFrame) -> DataFrame:
                 done = set()
             fresh = [i for i, c in enumerate(cls.tolist()) if not (c in done or done.add(c))]  # copies seen just now
             data, offsets = text_column(batch.take(pa.array(fresh, pa.int64())), "text")
+            own, sizes = cls[fresh], np.diff(offsets)
             for row, place, gram, context in all_anchors(data, offsets):
-                yield emit(schema, [gram, cls[fresh][row], place, context])
+                on, (r, start, stop) = _known(row, place, gram, context, sizes)
+                yield emit(ANCHORS, [gram[on], own[row[on]], place[on], context[on], np.zeros(len(on), np.int64)])
+                if len(r):
+                    key = mix(own[r].view(U) ^ mix(start.astype(U))).view(np.int64)  # only deals the rows out
+                    yield emit(ANCHORS, [key, own[r], start, np.zeros(len(r), np.int64), stop])
 
     found = texts.where(f"octet_length(text) >= {WINDOW}").select("cls", "text").mapInArrow(
-        find, "gram long, cls long, place long, context long")
+        find, "gram long, cls long, place long, context long, stop long")
 
     def pick(batches):
-        schema = pa.schema([("gram", pa.int64()), ("cls", pa.int64()), ("place", pa.int64()), ("context", pa.int64())])
         held, repeated = None, False   # the last anchor waits for its successor; is its gram known to repeat?
         for batch in batches:
-            now = np.stack([batch.column(i).to_numpy() for i in range(4)])
+            now = np.stack([batch.column(i).to_numpy() for i in range(5)])
+            stretch = now[4] > 0
+            if stretch.any():
+                yield emit(ANCHORS, list(now[:, stretch]))
+                now = now[:, ~stretch]
             if held is not None:
                 now = np.concatenate([held, now], axis=1)
             if not now.shape[1]:
                 continue
-            fresh = np.concatenate([[True], (now[:, 1:] != now[:, :-1]).any(axis=0)])
-            now = now[:, fresh]
+            now = now[:, np.concatenate([[True], (now[:, 1:] != now[:, :-1]).any(axis=0)])]
             same = now[0, 1:] == now[0, :-1]
             before = np.concatenate([[repeated], same])
-            after = np.concatenate([same, [False]])
-            keep = (before | after)[:-1]
-            out = now[:, :-1][:, keep]
-            yield emit(schema, list(out))
+            keep = (before | np.concatenate([same, [False]]))[:-1]
+            yield emit(ANCHORS, list(now[:, :-1][:, keep]))
             held, repeated = now[:, -1:], bool(before[-1])
         if held is not None and repeated:
-            yield emit(schema, list(held))
+            yield emit(ANCHORS, list(held))
 
     dealt = found.repartition("gram").sortWithinPartitions("gram", "context", "cls", "place")
-    return dealt.mapInArrow(pick, "gram long, cls long, place long, context long")
+    return dealt.mapInArrow(pick, "gram long, cls long, place long, context long, stop long")
 
 
 def contexts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -226,13 +250,14 @@ def removed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     keyed = _keyed(docs.select("doc_id", "text"))
     rows = stored(keyed.select("doc_id", "cls", "sha", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")), "texts")
     classes = rows.groupBy("cls").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"))
-    found = stored(repeated_anchors(keyed), "anchors")
+    both = stored(repeated_anchors(keyed), "anchors")
+    found, known = both.where("stop = 0").drop("stop"), both.where("stop > 0").select("cls", F.col("place").alias("start"), "stop")
     per_context = found.groupBy("gram", "context").agg(F.count("*").alias("alike"), F.min(F.struct("cls", "place")).alias("first"))
     per_gram = per_context.groupBy("gram").agg(F.count("*").alias("kinds"))
     several = stored(per_context.join(per_gram.where("kinds > 1"), "gram").select(
         "gram", F.col("first.cls").alias("cls"), F.col("first.place").alias("place")), "contexts")
     alike = found.join(per_context.where("alike > 1").select("gram", "context"), ["gram", "context"]).select("cls", "place")
-    needed = found.select("cls").distinct().join(classes, "cls")
+    needed = both.select("cls").distinct().join(classes, "cls")
     by_id = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     texts = stored(keyed.select("cls", "text", by_id.alias("k")).join(
         needed.select("cls", F.coalesce("rep", F.lit(-(1 << 63))).alias("k")), ["cls", "k"]).select("cls", "text"), "needed")
@@ -242,7 +267,7 @@ def removed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         "cls", F.greatest(F.lit(0), F.col("place") - REACH).alias("start"), F.least(F.col("n_bytes"), F.col("place") + WINDOW).alias("stop")).where(
         f"stop - start >= {WINDOW}")
     single = classes.where("copies = 1").select("cls")
-    spans = near.union(whole).join(single, "cls").groupBy("cls").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = near.union(whole).union(known).join(single, "cls").groupBy("cls").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return rows.join(classes.select("cls", "copies"), "cls"), spans, texts
 
 
