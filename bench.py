@@ -13,6 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from glyphaudit.operators import profile as prof  # noqa: E402
 from glyphaudit.operators.convert import convert  # noqa: E402
 from glyphaudit.operators.detect import detect, sample_of  # noqa: E402
+from glyphaudit.plans.audit import audit  # noqa: E402
 from glyphaudit.plans import catalog, fixtures as fx  # noqa: E402
 from glyphaudit.plans.session import tune  # noqa: E402
 
@@ -50,6 +51,7 @@ def main() -> None:
         "convert_utf8_to_utf16_arrow": lambda: convert(utf8, "utf-16-bom", built_in=False),
         "byte_histogram_arrow": lambda: prof.unfold_histogram(prof.with_byte_histogram(enc, sample), ["doc_id"]),
         "byte_histogram_relational": lambda: prof.relational_histogram(enc, sample, ["doc_id"]),
+        "validate_contents": lambda: audit(utf8.drop("source_encoding", "source_has_bom"), "validate", accepted=["utf-8", "us-ascii"]),
         "validate": lambda: catalog.val1_validate(spark, SF),
         "report_order": lambda: catalog.sort1_report_order(spark, SF),
         "label_counts": lambda: catalog.det7_label_counts(spark, SF),

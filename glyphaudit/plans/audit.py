@@ -14,6 +14,7 @@ from ..operators.convert import convert
 from ..operators.detect import detect
 from ..operators.report import as_report
 from ..operators.validate import report_detected, validate
+from ..sources.sinks import write_backup
 from .session import tune
 
 ACTIONS = ["detect", "validate", "convert"]
@@ -81,6 +82,17 @@ def audit(
     return mark_failed(done) if errors else done
 
 
+def convert_corpus(corpus: DataFrame, target: str, folder: str) -> DataFrame:
+    """One conversion job: the originals to ``folder``/backup, then every row's outcome with its bytes to ``folder``/result.
+
+    The stored result is returned. Report (``as_report``), gate and corpus (``write_converted``) are read from it, so they agree with
+    each other and the source is read once per stage; rows that failed stay in it.
+    """
+    write_backup(audit(corpus, "convert", target, what_if=True), f"{folder}/backup")
+    audit(corpus, "convert", target).drop("content").write.mode("overwrite").parquet(f"{folder}/result")
+    return corpus.sparkSession.read.parquet(f"{folder}/result")
+
+
 def mark_failed(df: DataFrame) -> DataFrame:
     """Report columns of rows that could not be read."""
     bad = F.col("read_error").isNotNull()

@@ -38,7 +38,7 @@ from ..sources.tree import (
 )
 from ..streaming.incremental import deliver_report, running_counts, watch_tree
 from . import fixtures as fx
-from .audit import audit, check_options, mark_failed, with_source
+from .audit import audit, check_options, convert_corpus, mark_failed, with_source
 
 ALLOWED = ["utf-8", "UTF-8-BOM", "utf-16be-bom", "utf-32", "(Unknown)"]
 INCLUDE = ["*.cs", "src/*.txt", "?ther/*"]
@@ -193,6 +193,15 @@ def snk5_backup(spark, sf):
     return spark.read.parquet(out).select("path", _sha(_c("content")).alias("sha256"))
 
 
+def snk6_conversion_job(spark, sf):
+    """Backup, outcome and converted bytes of one job."""
+    folder = shared_folder(spark, "job")
+    result = convert_corpus(fx.enc(spark, sf).withColumn("path", _c("doc_id").cast("string")), "utf-8-bom", folder)
+    saved = spark.read.parquet(f"{folder}/backup").select("path", _sha(_c("content")).alias("backup_sha256"))
+    return result.join(saved, "path", "left").select("doc_id", "target_encoding", "target_has_bom", "result",
+                                                     _sha(_c("conversion.output")).alias("sha256"), "backup_sha256")
+
+
 # --- path predicates -----------------------------------------------------------------------------
 
 def prd1_include_masks(spark, sf):
@@ -744,7 +753,7 @@ QUERIES = (
     "src1_recursive_scan", "src1_binary_file", "src2_top_level", "src2_top_level_predicate", "src3_prefix_scan",
     "src4_byte_column", "src5_empty_and_hidden", "src6_unreadable", "src7_unlistable_directory", "src8_prior_report",
     "src9_checked_options", "snk1_csv_report", "snk1_csv_round_trip", "snk2_csv_line", "snk3_tab_export",
-    "snk4_converted_corpus", "snk5_backup", "prd1_include_masks", "prd2_exclude_masks", "prd3_mask_regex",
+    "snk4_converted_corpus", "snk5_backup", "snk6_conversion_job", "prd1_include_masks", "prd2_exclude_masks", "prd3_mask_regex",
     "prd4_excluded_directories", "prd5_artefacts", "prd6_one_path", "prd7_mask_list", "prd8_hide_passing",
     "prd9_needs_conversion", "prd10_display_columns", "prd11_effective_label", "prd_candidates", "join1_merge_outcomes",
     "join2_selected_rows", "join3_accepted", "join4_rejected", "join5_resolve_names", "join6_stale_sources",

@@ -312,6 +312,9 @@ def oracle_sql() -> dict[str, str]:
     o["val2_detect_bytes"] = f"select case when {DETECTED_SKIP} then 'Skipped' else 'Unchanged' end as result, count(*) as n from documents group by 1"
     o["cnv1_convert_detected"] = f"""with {T}, c as (select doc_id, text, {_plan('utf-8', True)} from t)
  select doc_id, target_encoding, target_has_bom, result, case when result='Converted' then sha256(unhex('EFBBBF')||encode(text)) end as sha256 from c"""
+    o["snk6_conversion_job"] = f"""with {ENC}, c as (select doc_id, text, content, {_plan('utf-8', True)} from enc)
+ select doc_id, target_encoding, target_has_bom, result, case when result='Converted' then sha256(unhex('EFBBBF')||encode(text)) end as sha256,
+ case when result='Converted' then sha256(content) end as backup_sha256 from c"""
     o["cnv2_dry_run"] = f"with {T} select doc_id, {_plan('utf-8', False)}, null::varchar as diagnostic from t"
     o["cnv3_bom_feasibility"] = f"with {T} select doc_id, case when {KNOWN} then 'Error' else 'Skipped' end as result, case when {KNOWN} then 'BomMismatch' end as code from t"
     utf8_length = "octet_length(encode(text))"

@@ -35,6 +35,8 @@ def _open(path: str, known: dict | None = None) -> tuple[pafs.FileSystem, str]:
 
     ``known`` keeps one file system per scheme and authority.
     """
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = path.removeprefix("file:")  # as Spark writes local paths
     if "://" not in path:
         path = f"file://{_quote(path)}"
     elif path.startswith("s3a://"):
@@ -208,6 +210,11 @@ def read_files(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     return spread.mapInArrow(_reader(max_bytes, column), READ.format(column))
 
 
+def read_samples(files: DataFrame, sample_bytes: int) -> DataFrame:
+    """Samples of (path, rel, length, modificationTime) rows where they are; also for streams."""
+    return files.select("path", "rel", "length", "modificationTime").mapInArrow(_reader(sample_bytes, "sample"), READ.format("sample"))
+
+
 def _slices(files: DataFrame, max_bytes: int | None) -> int:
     """Tasks for a read: about 128 MB and at most 20,000 files each."""
     size = F.col("length") if max_bytes is None else F.least(F.col("length"), F.lit(max_bytes))

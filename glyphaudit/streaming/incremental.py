@@ -5,20 +5,23 @@ The file source remembers paths: a file rewritten under its old path is not read
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.constants import SAMPLE_BYTES
 from ..operators.report import as_report, count_by_result
 from ..plans.audit import audit
+from ..sources.tree import read_samples
 
-BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
+FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def watch_tree(spark: SparkSession, base: str, files_per_batch: int | None = None) -> DataFrame:
-    reader = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("recursiveFileLookup", "true")
+def watch_tree(spark: SparkSession, base: str, files_per_batch: int | None = None, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """A stream of samples. Spark's file source finds the files; their contents are not asked of it, only prefixes are read."""
+    reader = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.load(base)
+    return read_samples(reader.load(base).select("path", F.col("path").alias("rel"), "length", "modificationTime"), sample_bytes)
 
 
 def deliver_report(stream: DataFrame, path: str, checkpoint: str, **options) -> StreamingQuery:
