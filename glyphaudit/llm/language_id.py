@@ -114,16 +114,16 @@ class Model:
     escapes: list[Table]   # context -> bits of an escape in every language, 0 where the context is unknown
 
 
-def build_model(counts: list[tuple[str, int, int, int]], order: int = ORDER) -> Model:
-    """Trees from (label, order, key, n) rows; their number is bounded by the training sample."""
-    languages = sorted({c[0] for c in counts})
+def build_model(counts: pa.Table, order: int = ORDER) -> Model:
+    """Trees from a table (label, order, key, n), whose size is bounded by the training sample."""
+    found = counts.column("label").combine_chunks().dictionary_encode()
+    names = found.dictionary.to_pylist()
+    languages = sorted(names)
     if not languages:
         return Model([], [], [])
-    place = {name: i for i, name in enumerate(languages)}
-    lang = np.array([place[c[0]] for c in counts])
-    level = np.array([c[1] for c in counts])
-    key = np.array([c[2] for c in counts], dtype=np.int64).view(U)
-    n = np.array([c[3] for c in counts], dtype=np.float64)
+    lang = np.array([languages.index(n) for n in names])[found.indices.to_numpy()]
+    level, key, n = (counts.column(c).to_numpy() for c in ("order", "key", "n"))
+    key = key.view(U)
     coded: list[Table] = []
     escapes: list[Table] = []
     width = len(languages)
@@ -194,7 +194,7 @@ def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray, limit: int
 def train(labelled: DataFrame, order: int = ORDER, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> Model:
     """A model from (text, label) rows; sample and tables are bounded by ``rows`` and ``size`` per label."""
     counts = count_contexts(training_rows(labelled, rows, size), order)
-    return build_model([tuple(r) for r in counts.collect()], order)
+    return build_model(counts.toArrow(), order)
 
 
 def predict(docs: DataFrame, model: Model, id_column: str = "doc_id") -> DataFrame:

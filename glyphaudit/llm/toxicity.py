@@ -72,19 +72,27 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
+def frequent(positive: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of enough positives, and of how many."""
+    numbers, count = np.unique(np.concatenate(positive), return_counts=True)
+    kept = count >= max(3, SUPPORT * len(positive))
+    return numbers[kept], count[kept].astype(float)
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = EPOCHS) -> Model:
     """Each text is given as its sorted distinct feature numbers (below 2**FEATURE_BITS)."""
     slots = np.full(1 << FEATURE_BITS, -1, np.int32)
     base = float(np.log(prior / (1 - prior))) if 0 < prior < 1 else (-30.0 if prior <= 0 else 30.0)
     if not positive or not unlabelled or not 0 < prior < 1:
         return Model(np.zeros(0, np.int64), np.zeros(0), base if base < 0 else -1e-9, slots)
-    inside = [np.bincount(np.concatenate(x), minlength=1 << FEATURE_BITS) if x else 0 for x in (positive, unlabelled)]
-    kp, ku = inside[0].astype(float), inside[1].astype(float)
+    numbers, kp = frequent(positive)
+    every, count = np.unique(np.concatenate(unlabelled), return_counts=True)
+    at = np.minimum(np.searchsorted(every, numbers), max(len(every) - 1, 0))
+    ku = np.where(every[at] == numbers, count[at], 0) if len(every) else np.zeros(len(numbers))
     # Bayes: of the rows with a feature, prior * P(feature | toxic) / P(feature) are toxic; both rates at the cautious end
     rate = np.maximum(kp - np.sqrt(kp), 0) / len(positive)
-    purity = prior * rate / ((ku + 1 + np.sqrt(ku)) / len(unlabelled))
-    strong = np.flatnonzero((purity > PURITY) & (kp >= max(3, SUPPORT * len(positive))))
-    chosen = np.sort(strong[np.lexsort((strong, -rate[strong]))][:FEATURES])
+    strong = np.flatnonzero(prior * rate / ((ku + 1 + np.sqrt(ku)) / len(unlabelled)) > PURITY)
+    chosen = np.sort(numbers[strong[np.lexsort((strong, -rate[strong]))][:FEATURES]]).astype(np.int64)
     slots[chosen] = np.arange(len(chosen))
 
     def matrix(texts):
@@ -135,8 +143,10 @@ def training_sample(documents: DataFrame, labels: DataFrame, fold: bool) -> tupl
 
 def train(documents: DataFrame, labels: DataFrame, fold: bool = True) -> Model:
     sample, prior = training_sample(documents, labels, fold)
+    wanted = None
 
     def numbers(batches):
+        only = wanted.get() if wanted else None
         for batch in batches:
             data, offsets = text_column(batch, "text")
             found = []
@@ -145,12 +155,19 @@ def train(documents: DataFrame, labels: DataFrame, fold: bool = True) -> Model:
                 key = np.unique(row.astype(np.int64) << FEATURE_BITS | (hashes & U((1 << FEATURE_BITS) - 1)).astype(np.int64))
                 cut = np.searchsorted(key >> FEATURE_BITS, np.arange(hi - lo + 1))
                 small = (key & ((1 << FEATURE_BITS) - 1)).astype("<i4")
+                if only is not None:
+                    there = np.isin(small, only)
+                    cut, small = np.concatenate([[0], np.cumsum(there)])[cut], small[there]
                 found += [small[cut[i]:cut[i + 1]].tobytes() for i in range(hi - lo)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["positive", "features"])
 
-    rows = sample.mapInArrow(numbers, "positive boolean, features binary").collect()  # bounded by the sample
-    texts = [(r[0], np.frombuffer(bytes(r[1]), "<i4")) for r in rows]
-    return fit([t for p, t in texts if p], [t for p, t in texts if not p], prior)
+    def texts(rows):  # bounded by the sample
+        return [np.frombuffer(bytes(r[0]), "<i4") for r in rows.mapInArrow(numbers, "positive boolean, features binary").select("features").toLocalIterator()]
+
+    positive = texts(sample.where("positive"))
+    if positive:
+        wanted = Shared(documents.sparkSession, frequent(positive)[0])  # of the others no more than these is sent
+    return fit(positive, texts(sample.where("not positive")), prior)
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id") -> DataFrame:
