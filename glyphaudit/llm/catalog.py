@@ -24,5 +24,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+REACH = """reach(a, b) as (select a, b from link union select r.a, l.b from reach r join link l on r.b = l.a),
+ least as (select a, min(b) as b from reach group by a)"""
+
+NEAR_DUP_SQL = f"""with recursive w as (select doc_id, regexp_extract_all(
+   translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+ s as (select doc_id, unnest(case when len(ws) >= 5 then list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')))
+   when len(ws) > 0 then [array_to_string(ws, ' ')] end) as sh from w),
+ n as (select doc_id, count(*) as n from s group by doc_id),
+ pair as (select x.doc_id as a, y.doc_id as b, count(*) as i from s x join s y on x.sh = y.sh and x.doc_id <> y.doc_id group by 1, 2),
+ link as (select a, b from pair join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 85 * (x.n + y.n - i)),
+ {REACH}
+ select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(t.b, d.doc_id)) as component_id,
+   d.doc_id <= coalesce(t.b, d.doc_id) as kept from documents d left join n using (doc_id) left join least t on t.a = d.doc_id"""
+
+EMBEDDING_DUP_SQL = f"""with recursive v as (select vec_id, embedding::double[] as e from embeddings
+   where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ u as (select vec_id, e, sqrt(list_inner_product(e, e)) as size from v),
+ link as (select x.vec_id as a, y.vec_id as b from u x join u y on x.vec_id <> y.vec_id and list_inner_product(x.e, y.e) >= 0.95 * x.size * y.size),
+ {REACH}, n as (select a, count(*) as n from link group by a)
+ select e.vec_id, coalesce(n.n, 0) as n_links, least(e.vec_id, coalesce(t.b, e.vec_id)) as component_id, e.vec_id <= coalesce(t.b, e.vec_id) as kept
+ from embeddings e left join n on n.a = e.vec_id left join least t on t.a = e.vec_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_near_dup_forest": NEAR_DUP_SQL, "op8_embedding_dup": EMBEDDING_DUP_SQL}
