@@ -174,3 +174,16 @@ def test_masks(spark, mask, hits):
 def test_mask_lists():
     assert split_masks(" *.a , ,b*,") == ["*.a", "b*"] and split_masks("x\n\n y ", "\n") == ["x", "y"]
     assert mask_regex("*.cs").endswith(r"^(?:.*/)?.*\.cs$")
+
+
+def test_stream_reads_samples_only(spark, tmp_path):
+    base = tmp_path / "in"
+    base.mkdir()
+    (base / "odd name.txt").write_bytes(b"z" * 5000)
+    stream = watch_tree(spark, str(base), sample_bytes=100)
+    assert "content" not in stream.columns
+    query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    row = spark.read.parquet(str(tmp_path / "out")).first()
+    assert (row.length, bytes(row.sample), row.read_error) == (5000, b"z" * 100, None)
