@@ -16,7 +16,6 @@ Defined cases: null and empty texts have no tokens; every byte must be an entry
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 import re
 
@@ -25,7 +24,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import kept_in_worker, slices, table, text_column
+from .common import kept_in_worker, slices, table, text_column, without_collection
 from .pieces import split
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -269,7 +268,11 @@ def encoded(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches):
-        transducer, cache = kept_in_worker(f"fst {path}", lambda: _machine(path))
+        with without_collection():
+            yield from encode(batches)
+
+    def encode(batches):
+        _, cache = kept_in_worker(f"fst {path}", lambda: _machine(path))
         for batch in batches:
             for lo, hi, texts in text_slices(batch):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(encode_texts(texts, cache, pattern), pa.binary())],
@@ -279,7 +282,6 @@ def encoded(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN
 
 
 def _machine(path: str) -> tuple[Transducer, PieceCache]:
-    gc.disable()  # nothing here makes garbage cycles, and a collection would walk all states
     transducer = Transducer(read_ranks(path))
     return transducer, PieceCache(lambda piece: transducer.encode(piece.encode("utf-8")))
 
@@ -298,6 +300,10 @@ def digests(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches):
+        with without_collection():
+            yield from digest(batches)
+
+    def digest(batches):
         transducer, cache = kept_in_worker(f"fst {path}", lambda: _machine(path))
         for batch in batches:
             for lo, hi, texts in text_slices(batch):

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import pickle
 import sys
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,17 @@ def kept_in_worker(name: str, make: Callable):
     return kept[name]
 
 
+@contextmanager
+def without_collection():
+    """No garbage collection while caches of millions of plain objects without cycles grow; later ones leave them out."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.freeze()
+        gc.enable()
+
+
 def text_column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string or binary column; nulls are empty."""
     column = batch.column(batch.schema.get_field_index(name))

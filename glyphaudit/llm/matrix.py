@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_fst import encode_texts, text_slices
-from .common import emit, kept_in_worker, table
+from .common import emit, kept_in_worker, table, without_collection
 from .packing import VOCABULARY, tokenizer
 
 LENGTH, END_ID, BLOCK = 2048, 50256, 1 << 21
@@ -111,6 +111,10 @@ def matrix(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_I
     pattern, end = public_tokenizers.PATTERN, np.array([end_id], "<u4").tobytes()
 
     def run(batches):
+        with without_collection():
+            yield from pack(batches)
+
+    def pack(batches):
         cache, _ = kept_in_worker(f"packing {path}", lambda: tokenizer(path))
         row, held, waiting = TaskContext.get().partitionId() << 33, [], 0
         for batch in batches:

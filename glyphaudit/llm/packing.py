@@ -18,7 +18,6 @@ sequences; ``doc_id`` may be null; other columns are ignored. Text that spells a
 
 from __future__ import annotations
 
-import gc
 import zlib
 from collections import deque
 
@@ -29,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_fst import PieceCache, encode_texts, read_ranks, text_slices
-from .common import emit, kept_in_worker, table
+from .common import emit, kept_in_worker, table, without_collection
 
 VOCABULARY = "byte_bpe_50k.tiktoken"   # the ranks of byte_bpe_50k.json
 LENGTH, END_ID = 2048, 1
@@ -42,7 +41,6 @@ def tokenizer(path: str) -> tuple[PieceCache, np.ndarray]:
     """Cached encoder of pieces, and which ids end a sentence or a line."""
     import tiktoken
 
-    gc.disable()  # the caches hold millions of plain objects and no cycles
     ranks = read_ranks(path)
     core = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     ends = np.zeros(max(ranks.values()) + 2, bool)
@@ -157,6 +155,10 @@ def packed(docs: DataFrame, path: str, id_column: str = "doc_id", end_id: int =
     kind, pattern, end = field.dataType.simpleString(), public_tokenizers.PATTERN, np.array([end_id], "<u4").tobytes()
 
     def run(batches):
+        with without_collection():
+            yield from pack(batches)
+
+    def pack(batches):
         cache, sentence_ends = kept_in_worker(f"packing {path}", lambda: tokenizer(path))
         packer, schema = Packer(TaskContext.get().partitionId() << 33, sentence_ends), None
 
