@@ -723,21 +723,19 @@ def str2_running_counts(spark, sf):
 def _sql(statement: str) -> Callable:
     def query(spark, sf):
         register_functions(spark)
-        name = "glyph_enc"
-        fx.enc(spark, sf).createOrReplaceTempView(name)
-        return spark.sql(statement)
+        return spark.sql(statement, enc=fx.enc(spark, sf))
 
     return query
 
 
 udf1_detect_charset = _sql(
     "select doc_id, d.charset as charset, d.has_bom as has_bom "
-    "from (select doc_id, detect_charset(content) as d from glyph_enc)")
+    "from (select doc_id, detect_charset(content) as d from {enc})")
 udf2_transcode = _sql(
     "select doc_id, t.error_code as error_code, sha2(t.output, 256) as sha256, t.scalars as scalars "
-    "from (select doc_id, transcode(content, 'utf-8', 'utf-16', true) as t from glyph_enc)")
+    "from (select doc_id, transcode(content, 'utf-8', 'utf-16', true) as t from {enc})")
 udf3_is_valid_text = _sql(
-    "select doc_id, is_valid_text(content, 'utf-8') as utf8, is_valid_text(content, 'us-ascii') as ascii from glyph_enc")
+    "select doc_id, is_valid_text(content, 'utf-8') as utf8, is_valid_text(content, 'us-ascii') as ascii from {enc}")
 
 cnv4_to_utf8 = _to("utf-8")
 cnv4_to_utf8_arrow = _to("utf-8", built_in=False)

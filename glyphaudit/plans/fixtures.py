@@ -82,5 +82,4 @@ def enc_truth(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     select = REPORT[len("select "):REPORT.rindex("from documents")]
-    docs.createOrReplaceTempView("glyph_documents")
-    return spark.sql(f"select {select} from glyph_documents")
+    return spark.sql(f"select {select} from {{docs}}", docs=docs)
