@@ -19,7 +19,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import emit, fixed_binary, kept_in_worker, slices, stored, table, text_column
 from .components import components
@@ -232,7 +233,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, class_id) of every row."""
+    """(doc_id, n_shingles, component_id, kept, class_id, group_id) of every row; group_id tells components of one component_id apart."""
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), "text")
     rows = stored(described(docs, id_column), "shingled")
     classes = stored(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
@@ -253,10 +254,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     rest = stored(confirmed(stored(crowded(classes, groups), "crowded"), classes, texts), "links")
     groups = stored(components(links.union(rest)), "groups")
     least = groups.join(classes.select(F.col("cls").alias("id"), "rep"), "id").groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_class = groups.join(least, "component").select(F.col("id").alias("cls"), "component_id")
-    final = classes.select("cls", "rep").join(of_class, "cls", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id"))
+    of_class = groups.join(least, "component").select(F.col("id").alias("cls"), "component_id", F.col("component").alias("group_id"))
+    final = classes.select("cls", "rep").join(of_class, "cls", "left").select(
+        "cls", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("group_id", "cls").alias("group_id"))
     return rows.drop("sig").join(final, "cls", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("cls").alias("class_id")).withColumn(
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("cls").alias("class_id"), "group_id").withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
@@ -264,7 +266,28 @@ def op3_near_dup_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def with_class(docs: DataFrame) -> DataFrame:
+    """``docs`` and the class of each row's set, null without words."""
+    def run(batches):
+        for batch in batches:
+            data, offsets = text_column(batch, "text")
+            cls = [class_of(s) if len(s) else None for lo, hi in slices(offsets)
+                   for s in shingles(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cls, pa.int64())], names=[*batch.schema.names, "__cls"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__cls", LongType())]))
+
+
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group stays, that of the smallest id. Rows without an id stay."""
-    gone = near_duplicates(docs).where("doc_id is not null and not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Pipeline stage: one row of each group stays, that of the smallest id. Rows without a word stay.
+
+    It is decided by row: texts that share an id are told apart by their class, repeated rows stay once. Rows without an id take part under
+    the hash of their text, behind all ids below 2^62.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
+    keyed = docs.withColumn("__key", key)
+    stay = near_duplicates(keyed, "__key").where("kept and class_id is not null").groupBy("group_id").agg(
+        F.min(F.struct("class_id", "doc_id")).alias("first")).select(F.col("first.doc_id").alias("__key"), F.col("first.class_id").alias("__cls"), F.lit(True).alias("__stays"))
+    rows = with_class(keyed).join(stay, ["__key", "__cls"], "left").where("__stays or __cls is null")
+    once = Window.partitionBy("__key", "__cls").orderBy(F.xxhash64("text"))
+    return rows.withColumn("__n", F.row_number().over(once)).where("__n = 1 or __cls is null").select(docs.columns)

@@ -73,6 +73,28 @@ def test_near_duplicates_equal_brute_force(documents):
     assert {x.doc_id for x in kept.collect()} == {i for i in names if want[i] == i} | {None}
 
 
+def test_stage_decides_by_row(spark, documents):
+    """Repeated rows, exact and near copies without an id, and texts that share an id."""
+    r = random.Random(12)
+    text = lambda: [f"w{r.randrange(5000)}" for _ in range(100)]
+    one, two, three, four, five, six = (text() for _ in range(6))
+    near = lambda words: " ".join([*words[:-1], "changed"])
+    one, two, three, four, five, six, near_one, near_four, near_six = *map(" ".join, (one, two, three, four, five, six)), near(one), near(four), near(six)
+    rows = [(1, one), (1, one), (1, one.upper()), (None, one), (None, near_one),      # stored again, also without an id
+            (2, near_one), (2, two), (2, two),                                        # an id of two texts, one a near copy
+            (3, three), (3, five),                                                    # an id of two texts, both alone
+            (4, four), (4, near_four), (4, four),                                     # an id of two texts that are near copies
+            (None, six), (None, six), (None, near_six),                               # no row has an id
+            (9, ""), (9, None), (None, " ")]
+    out = nd.without_near_duplicates(spark, documents([(i, t, "en") for i, t in rows]), "").collect()
+    got = Counter((x.doc_id, None if x.text is None else nd_group(x.text, {"one": (one, one.upper()), "four": (four, near_four), "six": (six, near_six)})) for x in out)
+    assert got == Counter([(1, "one"), (2, two), (3, three), (3, five), (4, "four"), (None, "six"), (9, ""), (9, None), (None, " ")])
+
+
+def nd_group(text, groups):
+    return next((name for name, texts in groups.items() if text in texts), text)
+
+
 def test_crowded_regions_lose_no_link(documents, monkeypatch):
     """Near copies of one text, many barely linked, while the sorted order meets next to none."""
     monkeypatch.setattr(nd, "NEIGHBOURS", 1)
