@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import Shared, table
+from .common import Shared, stored, table
 from .vectors import matrix_of, usable
 
 SAMPLE, COMPONENTS, TURNS, LEARN = 20_000, 64, 2, 25
@@ -119,6 +119,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = NEAREST, id_column: st
     """(query_id, rank, vec_id, score): the k nearest rows found for every query, score being the Euclidean distance."""
     base = vectors.where(usable()).select(F.col(id_column).cast("long").alias("vec_id"), "embedding", F.size("embedding").alias("width"),
                                           F.coalesce(is_query, F.lit(False)).alias("asks")).where("vec_id is not null")
+    base = stored(base.groupBy("vec_id", "embedding", "width").agg(F.bool_or("asks").alias("asks")), "vectors")  # repeated rows count once
     n, asked = base.agg(F.count("*"), F.count_if("asks")).first()
     row_blocks, query_blocks = max(1, -(-n // rows)), max(1, -(-asked // queries))
     shared = Shared(vectors.sparkSession, learn(base, sample))

@@ -85,6 +85,17 @@ def test_search_small_tables(spark):
     assert ann.search(table(spark, []), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_search_counts_repeated_rows_once(spark):
+    """A row near the query is stored 30 times; the other neighbours stay."""
+    x = vectors(6, 200, 12)
+    x[7] = x[0] + np.float32(0.001)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    alone = sorted(tuple(r) for r in ann.search(table(spark, rows), F.col("vec_id") == 0).collect())
+    assert len(alone) == 10 and alone[0][2] == 7
+    for size in (32_768, 60):
+        assert sorted(tuple(r) for r in ann.search(table(spark, rows + 30 * [rows[7]]), F.col("vec_id") == 0, rows=size).collect()) == alone
+
+
 def test_index_finds_the_whole_radius():
     r = np.random.default_rng(4)
     codes = r.integers(0, 256, (500, 4)).astype(np.uint8)
