@@ -9,8 +9,9 @@ from those pages' sentences in other common layouts, labelled by construction. A
 fit; every page is labelled whole.
 
 Defined cases: null or empty html, or pages without an article, give an empty text of 0 code points; scripts, styles, comments of
-the markup, the head and other invisible content are no blocks; unclosed and stray tags are tolerated; repeated rows are labelled alike;
-an empty table gives no rows; other columns are ignored.
+the markup, the head and other invisible content are no blocks; only scripts, styles and comments without an end run to the end of the page;
+the head ends at its end tag, the body or the first tag of body content; other unclosed and stray tags are tolerated; repeated rows are labelled
+alike; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,10 +45,17 @@ OUTSIDE = frozenset(
     "comment comments disqus respond reply replies share sharing social related recommended newsletter subscribe signup login search breadcrumb "
     "breadcrumbs pagination pager widget widgets copyright toolbar".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(script|style|template|svg|math|iframe|object|noframes|head|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.S | re.I)
+# Parts that are no blocks where they have an end; those in CLOSED_BY_SLASH may also be empty tags.
+SKIPPED = frozenset("template svg math object iframe noframes title noscript".split())
+CLOSED_BY_SLASH = frozenset("svg math object iframe".split())
+RAW = frozenset("iframe noframes title noscript".split())   # do not nest; comments and scripts inside are plain text
+IN_HEAD = frozenset("html head base basefont bgsound link meta title script style template noscript noframes".split())
+
+_ATTRIBUTES = r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>"
+_WHOLE = r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
+_TOKEN = re.compile(_WHOLE + r"|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)" + _ATTRIBUTES, re.S | re.I)
+_ENDS = {n: re.compile(("()" if n in RAW else _WHOLE + "|") + rf"<(/?)({n})(?=[\s/>])" + _ATTRIBUTES, re.S | re.I) for n in SKIPPED}
+_HEAD_OVER = re.compile(r"</head(?=[\s/>])|<body(?=[\s/>])", re.I)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[^a-z0-9]+")
 
@@ -61,6 +69,26 @@ def _names(attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def _empty(tag: str, attributes: str) -> bool:
+    return tag in CLOSED_BY_SLASH and attributes.rstrip().endswith("/")
+
+
+def _ends(page: str, name: str) -> dict[int, int]:
+    """Where the parts of this name that have an end tag stop, by the end of their start tag. Start tags without one are left out."""
+    out, open_ = {}, []
+    for found in _ENDS[name].finditer(page):
+        if found.group(3) is None:
+            continue
+        if not found.group(2):
+            if not _empty(name, found.group(4)):
+                open_.append(found.end())
+        elif open_:
+            out[open_.pop()] = found.end()
+            if name in RAW:
+                open_.clear()
+    return out
+
+
 def leaves(page: str) -> list[tuple[tuple[str, ...], str, float]]:
     """(path tokens, text, share of characters in links) of every leaf block with text."""
     out, stack, path = [], [], ()
@@ -77,18 +105,41 @@ def leaves(page: str) -> list[tuple[tuple[str, ...], str, float]]:
             parts.clear()
         linked = 0
 
-    for found in _TOKEN.finditer(page):
-        if found.start() > at:
+    ends: dict[str, dict[int, int]] = {}
+    in_head = untitled = False
+    while found := _TOKEN.search(page, at):
+        if found.start() > at and not untitled:
             parts.append(page[at:found.start()])
             if in_link:
                 linked += found.start() - at
-        at = found.end()
+        at, untitled = found.end(), False
         tag = found.group(3)
         if tag is None:
             if found.group(1) is None and found.group(0).startswith("<![CDATA["):
                 parts.append(found.group(0)[9:].removesuffix("]]>"))
             continue
         tag = tag.lower()
+        if (tag in SKIPPED or tag == "head") and found.group(4)[:1].strip(" \t\n\r\f/"):
+            tag = ""  # a longer name, such as head_line
+        if tag == "head" and not found.group(2):
+            flush()
+            in_head = True
+            continue
+        if in_head:
+            if tag == "body" or tag == "head":  # text before belongs to the head
+                parts.clear()
+                linked = 0
+            in_head = tag not in ("head", "body") and (tag in IN_HEAD or bool(found.group(2)))
+        if tag in SKIPPED and not found.group(2) and (tag != "noscript" or in_head) and not _empty(tag, found.group(4)):
+            if tag not in ends:
+                ends[tag] = _ends(page, tag)
+            end = ends[tag].get(at)
+            if end is not None and tag in ("title", "noscript") and _HEAD_OVER.search(page, at, end):
+                end = None
+            untitled = tag == "title" and end is None  # what runs up to the next tag is the title
+            if end is not None:
+                at = end
+                continue
         if tag not in BLOCK_TAGS:
             if tag == "a":
                 in_link = not found.group(2)

@@ -1,6 +1,9 @@
 """Block reading and labelling of pages."""
 
+import time
+
 import numpy as np
+import pytest
 
 from glyphaudit.llm import html_text as ht
 
@@ -15,6 +18,33 @@ def test_leaves():
     assert ht.leaves("<!-- never closed <p>x</p>") == [] and ht.leaves("<script>x") == []
 
 
+@pytest.mark.parametrize("page,texts", [
+    ("<html><head><title>x</title><body><article><p>Main", ["Main"]),
+    ("<head><meta charset=utf-8><title>x</title><link rel=a><article><p>Main", ["Main"]),
+    ("<head><title>x</title>Plain text", ["Plain text"]),
+    ("<head>junk<title>x</title>junk</head><p>Main", ["Main"]),
+    ("<head><noscript><p>no</p></noscript><style>p{}</style></head><body><noscript>yes</noscript>", ["yes"]),
+    ("<head><title>x<body><p>Main</p><svg><title>icon</title></svg>", ["Main"]),
+    ("<title>x<p>Main</p><svg><title>icon</title></svg>", ["Main"]),
+    ("<title>a <b> c</title><p>Main", ["Main"]),
+    ("<p>One<svg class=a /> two<iframe src='x'/> three<math/> four<object data=x />five</p>", ["One two three fourfive"]),
+    ("<p>One<svg><svg/><svg>no</svg>no</svg> two<template>no<script>'</template>'</script>no</template>", ["One two"]),
+    ("<p>One<svg><path> two<template> three<object data=x> four<iframe src=x> five", ["One two three four five"]),
+    ("<head-line>One</head-line><svg-icon>two</svg-icon><title-bar>three", ["Onetwothree"]),
+    ("<style-guide>One</style-guide><p>two<script-x>three<object_y>four", ["One", "twothreefour"]),
+    ("<p>One<script>x</script foo>two<iframe><!-- x</iframe>three<style>y", ["Onetwothree"]),
+    ("<header>One</header><p>two<!-- rest", ["One", "two"]),
+])
+def test_only_scripts_styles_and_comments_run_to_the_end(page, texts):
+    assert [t for _, t, _ in ht.leaves(page)] == texts
+
+
+def test_many_unclosed_tags_take_linear_time():
+    began = time.process_time()
+    assert ht.leaves("<p>Main" + "<svg><iframe><title>" * 30_000)[0][1] == "Main"
+    assert time.process_time() - began < 20
+
+
 def test_gradients():
     r = np.random.default_rng(1)
     model = ht.Labeller()
