@@ -2,9 +2,10 @@
 
 A document's set holds its distinct five-word shingles (A-Z lower-cased, words between ASCII white space; with fewer words the whole
 sequence). Documents of equal sets are one class, so copies cost nothing further. A class has ``HASHES`` min-hashes; each of ``TREES``
-trees sorts the classes by its own rotation of the signature. In a tree, classes that share the first ``DEPTH`` values are a region. Inside it, each
+trees sorts the classes by its own rotation of the signature. In a tree, classes that share the first ``depth`` values are a region. Inside it, each
 class meets its ``NEIGHBOURS`` successors in sorted order, those of the longest common prefix: few classes in a region meet all, in
-crowded regions the depth adapts. With likeness 0.85 a pair misses a region in all trees with probability (1 - 0.85^4)^16 < 1e-5.
+crowded regions the depth adapts. With likeness 0.85 and depth 4 a pair misses a region in all trees
+with probability (1 - 0.85^4)^16 < 1e-5, with 0.8 and depth 3 of (1 - 0.8^3)^16, about 1e-5.
 
 Candidates whose signatures agree too little are dropped, the rest confirmed on the full sets, which are computed from the texts of the two
 documents. First each class's best candidate is confirmed; then only those candidates between different components of the confirmed
@@ -17,6 +18,8 @@ one document; a null id is never a representative, its component is that of its
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -27,10 +30,19 @@ from .components import components
 from .words import U, mix, word_hashes
 
 SHINGLE = 5
-HASHES, TREES, DEPTH, NEIGHBOURS = 128, 16, 4, 4
+HASHES, TREES, NEIGHBOURS = 128, 16, 4
 BLOCK = 8192            # classes of a crowded region that meet in one task
-THRESHOLD = (85, 100)   # linked if 100 * intersection >= 85 * union
-AGREEMENT = 88          # least number of equal signature values: five standard deviations below 0.85 * 128
+
+
+class Bounds(NamedTuple):
+    """Linked if ``bottom`` * intersection >= ``top`` * union; the others follow from that likeness."""
+    top: int = 85
+    bottom: int = 100
+    agreement: int = 88     # least number of equal signature values: five standard deviations below likeness * HASHES
+    depth: int = 4          # shared values that make a region, 1 to 4: a pair is missed with probability (1 - likeness^depth)^TREES
+
+
+FROM_85, FROM_80 = Bounds(), Bounds(80, 100, 80, 3)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -96,7 +108,7 @@ def described(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
         run, "doc_id long, n_shingles long, cls long, sig binary")
 
 
-def ordered(classes: DataFrame) -> DataFrame:
+def ordered(classes: DataFrame, depth: int) -> DataFrame:
     """(tree, region, rest, cls): the place of every class in every tree."""
     def order(batches):
         schema = pa.schema([("tree", pa.int32()), ("region", pa.int64()), ("rest", pa.binary()), ("cls", pa.int64())])
@@ -109,14 +121,16 @@ def ordered(classes: DataFrame) -> DataFrame:
             step = HASHES // TREES
             for t in range(TREES):
                 turned = np.roll(sig[:, :], -t * step, axis=1)
-                region = np.ascontiguousarray(turned[:, :DEPTH]).view("<i8").ravel()
-                rest = np.ascontiguousarray(turned[:, DEPTH:DEPTH + 16])
+                region = np.zeros((n, 4), "<u2")
+                region[:, :depth] = turned[:, :depth]
+                region = region.view("<i8").ravel()
+                rest = np.ascontiguousarray(turned[:, depth:depth + 16])
                 yield emit(schema, [np.full(n, t, np.int32), region, fixed_binary(rest), batch.column(0)])
 
     return classes.select("cls", "sig").mapInArrow(order, "tree int, region long, rest binary, cls long")
 
 
-def forest(classes: DataFrame) -> DataFrame:
+def forest(classes: DataFrame, depth: int) -> DataFrame:
     """(a, b) candidate classes, a < b: successors in the sorted orders that share a region."""
     def meet(batches):
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -135,11 +149,11 @@ def forest(classes: DataFrame) -> DataFrame:
                 yield emit(schema, [pairs.min(axis=0), pairs.max(axis=0)])
             tree, region, cls = tree[-NEIGHBOURS:], region[-NEIGHBOURS:], cls[-NEIGHBOURS:]
 
-    dealt = ordered(classes).repartition("tree", "region").sortWithinPartitions("tree", "region", "rest", "cls")
+    dealt = ordered(classes, depth).repartition("tree", "region").sortWithinPartitions("tree", "region", "rest", "cls")
     return dealt.mapInArrow(meet, "a long, b long").where("a <> b").distinct()
 
 
-def promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def promising(pairs: DataFrame, classes: DataFrame, agreement: int) -> DataFrame:
     """(a, b, agreement) of the candidates whose signatures agree enough."""
     def agree(batches):
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("agreement", pa.int32())])
@@ -148,7 +162,7 @@ def promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             if n:
                 left, right = (text_column(batch, c)[0].view("<u2").reshape(n, HASHES) for c in ("left", "right"))
                 same = (left == right).sum(axis=1)
-                keep = same >= AGREEMENT
+                keep = same >= agreement
                 yield emit(schema, [batch.column(0).to_numpy()[keep], batch.column(1).to_numpy()[keep], same[keep].astype(np.int32)])
 
     sigs = classes.select("cls", "sig")
@@ -157,13 +171,13 @@ def promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return joined.mapInArrow(agree, "a long, b long, agreement int")
 
 
-def crowded(classes: DataFrame, groups: DataFrame, block: int = BLOCK) -> DataFrame:
+def crowded(classes: DataFrame, groups: DataFrame, bounds: Bounds, block: int = BLOCK) -> DataFrame:
     """(a, b) promising pairs of different components in regions too large for the sorted order to have met all.
 
     A region's largest component is connected already; every other class of the region meets all classes of other components, in blocks
     of bounded size, and only pairs whose signatures agree are given out.
     """
-    place = ordered(classes).select("tree", "region", "cls").join(groups.withColumnsRenamed({"id": "cls"}), "cls", "left").withColumn(
+    place = ordered(classes, bounds.depth).select("tree", "region", "cls").join(groups.withColumnsRenamed({"id": "cls"}), "cls", "left").withColumn(
         "component", F.coalesce("component", "cls"))
     parts = place.groupBy("tree", "region", "component").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("tree", "region").agg(F.sum("n").alias("size"), F.count("*").alias("kinds"), F.max(F.struct("n", "component")).alias("top")).where(
@@ -188,7 +202,7 @@ def crowded(classes: DataFrame, groups: DataFrame, block: int = BLOCK) -> DataFr
             same = np.zeros(len(right), np.int16)
             for k in range(HASHES):
                 same += other[k] == sig[i, k]
-            hit = right[(same >= AGREEMENT) & (component[right] != component[i])]
+            hit = right[(same >= bounds.agreement) & (component[right] != component[i])]
             a.append(np.minimum(cls[hit], cls[i]))
             b.append(np.maximum(cls[hit], cls[i]))
         return pa.table([np.concatenate(a), np.concatenate(b)], schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
@@ -196,7 +210,7 @@ def crowded(classes: DataFrame, groups: DataFrame, block: int = BLOCK) -> DataFr
     return minor.union(whole).groupBy("tree", "region", "i", "j").applyInArrow(meet, "a long, b long").distinct()
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, bounds: Bounds) -> DataFrame:
     """(a, b) of the pairs that are links on their full sets. ``texts``: (doc_id, text)."""
     ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("cls")).join(classes.select("cls", "rep"), "cls")
     rows = ends.join(texts.where("doc_id is not null and text is not null"), ends.rep == texts.doc_id).select("a", "b", "cls", "text")
@@ -204,7 +218,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFra
     def check(batches):
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         pair, sets = None, {}
-        top, bottom = THRESHOLD
+        top, bottom = bounds.top, bounds.bottom
 
         def verdict():
             if pair is None or len(sets) < 2:
@@ -232,26 +246,26 @@ def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFra
     return rows.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(check, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", bounds: Bounds = FROM_85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, class_id, group_id) of every row; group_id tells components of one component_id apart."""
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), "text")
     rows = stored(described(docs, id_column), "shingled")
     classes = stored(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
                      .where("rep is not null"), "classes")
-    pairs = stored(promising(forest(classes), classes), "candidates")
+    pairs = stored(promising(forest(classes, bounds.depth), classes, bounds.agreement), "candidates")
     ends = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "agreement").union(
         pairs.select(F.col("b").alias("u"), F.col("a").alias("v"), "agreement"))
     best = ends.groupBy("u").agg(F.max(F.struct("agreement", "v")).alias("best")).select(
         F.least("u", "best.v").alias("a"), F.greatest("u", "best.v").alias("b")).distinct()
-    links = stored(confirmed(best, classes, texts), "links")
+    links = stored(confirmed(best, classes, texts, bounds), "links")
     groups = stored(components(links), "groups")
     left, right = groups.withColumnsRenamed({"id": "a", "component": "ca"}), groups.withColumnsRenamed({"id": "b", "component": "cb"})
     open_ = pairs.join(best, ["a", "b"], "left_anti").join(left, "a", "left").join(right, "b", "left").where(
         F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    more = stored(confirmed(open_, classes, texts), "links")
+    more = stored(confirmed(open_, classes, texts, bounds), "links")
     links = links.union(more)
     groups = stored(components(links), "groups")
-    rest = stored(confirmed(stored(crowded(classes, groups), "crowded"), classes, texts), "links")
+    rest = stored(confirmed(stored(crowded(classes, groups, bounds), "crowded"), classes, texts, bounds), "links")
     groups = stored(components(links.union(rest)), "groups")
     least = groups.join(classes.select(F.col("cls").alias("id"), "rep"), "id").groupBy("component").agg(F.min("rep").alias("component_id"))
     of_class = groups.join(least, "component").select(F.col("id").alias("cls"), "component_id", F.col("component").alias("group_id"))
@@ -278,7 +292,7 @@ def with_class(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__cls", LongType())]))
 
 
-def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, bounds: Bounds = FROM_85) -> DataFrame:
     """Pipeline stage: one row of each group stays, that of the smallest id. Rows without a word stay.
 
     It is decided by row: texts that share an id are told apart by their class, repeated rows stay once. Rows without an id take part under
@@ -286,7 +300,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
     keyed = docs.withColumn("__key", key)
-    stay = near_duplicates(keyed, "__key").where("kept and class_id is not null").groupBy("group_id").agg(
+    stay = near_duplicates(keyed, "__key", bounds).where("kept and class_id is not null").groupBy("group_id").agg(
         F.min(F.struct("class_id", "doc_id")).alias("first")).select(F.col("first.doc_id").alias("__key"), F.col("first.class_id").alias("__cls"), F.lit(True).alias("__stays"))
     rows = with_class(keyed).join(stay, ["__key", "__cls"], "left").where("__stays or __cls is null")
     once = Window.partitionBy("__key", "__cls").orderBy(F.xxhash64("text"))

@@ -114,6 +114,26 @@ def test_crowded_regions_lose_no_link(documents, monkeypatch):
     assert {x.doc_id: x.component_id for x in nd.near_duplicates(documents(rows)).collect()} == want
 
 
+def test_other_thresholds_equal_brute_force(spark, documents):
+    """Near copies between 0.80 and 0.85 are links from 0.8 up, and only there."""
+    r = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = []
+    for g in range(60):
+        words = [r.choice(vocabulary) for _ in range(150)]
+        other = list(words)
+        for at in r.sample(range(5, 140, 6), r.choice([2, 3, 3, 3, 4])):
+            other[at] = "changed"
+        rows += [(2 * g, " ".join(words), "en"), (2 * g + 1, " ".join(other), "en")]
+    sets = [shingle_set(t) for _, t, _ in rows]
+    kept = {}
+    for bounds in (nd.FROM_85, nd.FROM_80):
+        edges = [(a, a + 1) for a in range(0, 120, 2) if 100 * len(sets[a] & sets[a + 1]) >= bounds.top * len(sets[a] | sets[a + 1])]
+        kept[bounds] = {i for i, c in grouped(range(120), edges).items() if i == c}
+        assert {x.doc_id for x in nd.without_near_duplicates(spark, documents(rows), "", bounds).collect()} == kept[bounds]
+    assert len(kept[nd.FROM_80]) < len(kept[nd.FROM_85])
+
+
 @pytest.mark.parametrize("depth", [1, 3])
 def test_deep_shallow_sort(depth):
     r = random.Random(3)
