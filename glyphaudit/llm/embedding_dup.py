@@ -164,7 +164,8 @@ def compared(rows: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame
         b = pa.array(np.concatenate([np.zeros(len(some), np.int64), names[parent[tied]]]), mask=np.arange(len(a)) < len(some))
         return pa.table([pa.array(a), b, pa.array(np.concatenate([links[some], np.zeros(len(tied), np.int64)]))], schema=schema)
 
-    return fixed.select(columns).union(moving.select(columns)).groupBy("width", "cell", "h", "l").applyInArrow(run, "a long, b long, links long")
+    dealt = fixed.select(columns).union(moving.select(columns)).repartition("width", "cell", "h", "l")  # else a whole cell is one task after a sort-merge join
+    return dealt.groupBy("width", "cell", "h", "l").applyInArrow(run, "a long, b long, links long")
 
 
 def near_duplicate_vectors(vectors: DataFrame, id_column: str = "vec_id", threshold: float = THRESHOLD, cells: int = CELLS,

@@ -25,6 +25,7 @@ from .common import Shared, emit, held_out, slices, table, text_column
 ORDER = 4
 TRAIN_ROWS = 500         # labelled rows per language
 TRAIN_BYTES = 1_500_000  # and their bytes together (the first row is always taken)
+PARTS = 16               # parts of a language that are ranked apart
 U = np.uint64
 
 
@@ -33,7 +34,10 @@ def training_rows(labelled: DataFrame, rows: int = TRAIN_ROWS, size: int = TRAIN
     light = labelled.where("label is not null and text is not null and octet_length(text) > 0").select(
         "label", F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"))
     w = Window.partitionBy("label").orderBy("h")
-    ranked = light.withColumn("r", F.row_number().over(w)).where(F.col("r") <= rows)  # cut before the shuffle
+    # a language may hold any share of all rows: first within parts of it, then among what they leave
+    part = Window.partitionBy("label", F.pmod(F.shiftright("h", 8), F.lit(PARTS))).orderBy("h")
+    light = light.withColumn("r", F.row_number().over(part)).where(F.col("r") <= rows)
+    ranked = light.withColumn("r", F.row_number().over(w)).where(F.col("r") <= rows)
     total = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))
     chosen = ranked.withColumn("t", total).where((F.col("t") <= size) | (F.col("r") == 1)).select("label", "h").distinct()
     return (labelled.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["label", "h"])

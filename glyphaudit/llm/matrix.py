@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .bpe_fst import encode_texts, text_slices
+from .bpe_fst import text_slices
 from .common import emit, kept_in_worker, table, without_collection
-from .packing import VOCABULARY, tokenizer
+from .packing import TOKENIZER, VOCABULARY, added_tokens, encode_documents, tokenizer
 
 LENGTH, END_ID, BLOCK = 2048, 50256, 1 << 21
 
@@ -106,8 +106,9 @@ def rows_of_block(docs: list[tuple[object, bytes]], first: int, length: int, pad
     return columns
 
 
-def matrix(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID, id_column: str = "doc_id") -> DataFrame:
-    """One row per packed sequence. Positions restart at each segment, padding is ``end_id`` and is outside ``cu_seqlens``."""
+def matrix(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID, id_column: str = "doc_id",
+           added: dict[str, int] | None = None) -> DataFrame:
+    """One row per packed sequence. ``added``: tokens that are found in the text before it is split. Positions restart at each segment, padding is ``end_id`` and is outside ``cu_seqlens``."""
     pattern, end = public_tokenizers.PATTERN, np.array([end_id], "<u4").tobytes()
 
     def run(batches):
@@ -120,7 +121,7 @@ def matrix(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_I
         for batch in batches:
             for lo, hi, texts in text_slices(batch):
                 names = batch.column(0).slice(lo, hi - lo).to_pylist()
-                for name, ids in zip(names, encode_texts(texts, cache, pattern)):
+                for name, ids in zip(names, encode_documents(texts, cache, pattern, added or {})):
                     held.append((name, ids + end))
                     waiting += len(ids) // 4 + 1
                 if waiting >= BLOCK:
@@ -139,4 +140,4 @@ def write_matrix(docs: DataFrame, path: str, out: str, mode: str = "errorifexist
 
 
 def op7_matrix_bfd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matrix(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+    return matrix(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), added=added_tokens(public_tokenizers.path(TOKENIZER)))

@@ -10,10 +10,12 @@ with probability (1 - 0.85^4)^16 < 1e-5, with 0.8 and depth 3 of (1 - 0.8^3)^16,
 Candidates whose signatures agree too little are dropped, the rest confirmed on the full sets, which are computed from the texts of the two
 documents. First each class's best candidate is confirmed; then only those candidates between different components of the confirmed
 links. So a group of n near copies costs about n confirmations. Last, in regions larger than the sorted order has met all of, every class outside
-the region's largest component meets all other components, so that no candidate of a region is left out.
+the region's largest component meets all other components, so that no candidate of a region is left out. There the sets travel with the classes, in
+blocks bounded in classes and bytes; a block confirms its own candidates and gives out no more than a spanning forest of what it tied.
 
 Defined cases: texts without a word (null, empty, white space) have size 0 and are linked with nothing; rows of one id and text are
-one document; a null id is never a representative, its component is that of its class, or null; other columns are ignored.
+one document; a null id is never a representative, its component is that of its class, or null; a text of any length is one set (a set larger than a
+block is a block of its own); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,11 +29,12 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import emit, fixed_binary, kept_in_worker, slices, stored, table, text_column
 from .components import components
+from .embedding_dup import merge
 from .words import U, mix, word_hashes
 
 SHINGLE = 5
 HASHES, TREES, NEIGHBOURS = 128, 16, 4
-BLOCK = 8192            # classes of a crowded region that meet in one task
+BLOCK, BLOCK_BYTES = 8192, 16 << 20   # classes of a crowded region that meet in one task, and bytes of their sets
 
 
 class Bounds(NamedTuple):
@@ -171,43 +174,86 @@ def promising(pairs: DataFrame, classes: DataFrame, agreement: int) -> DataFrame
     return joined.mapInArrow(agree, "a long, b long, agreement int")
 
 
-def crowded(classes: DataFrame, groups: DataFrame, bounds: Bounds, block: int = BLOCK) -> DataFrame:
-    """(a, b) promising pairs of different components in regions too large for the sorted order to have met all.
+def sets_of(wanted: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(cls, shingles): the sorted set of each wanted class as binary, from the text of its representative."""
+    def run(batches):
+        schema = pa.schema([("cls", pa.int64()), ("shingles", pa.binary())])
+        for batch in batches:
+            data, offsets = text_column(batch, "text")
+            cls = batch.column(0).to_pylist()
+            for lo, hi in slices(offsets):
+                sets = shingles(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
+                own = [(c, s.tobytes()) for c, s in zip(cls[lo:hi], sets) if len(s) and class_of(s) == c]
+                yield emit(schema, [[c for c, _ in own], [s for _, s in own]])
+
+    rows = wanted.join(classes.select("cls", "rep"), "cls").join(
+        texts.where("doc_id is not null and text is not null"), F.col("rep") == F.col("doc_id")).select("cls", "text")
+    return rows.mapInArrow(run, "cls long, shingles binary").groupBy("cls").agg(F.first("shingles").alias("shingles"))
+
+
+def ties(sig: np.ndarray, sets: list[np.ndarray], component: np.ndarray, left: np.ndarray, right: np.ndarray, bounds: Bounds) -> list[tuple[int, int]]:
+    """Links between rows of ``left`` and ``right`` that tie different components together, at most one less than there are components."""
+    sizes = np.array([len(s) for s in sets])
+    names, numbers = np.unique(np.concatenate(sets), return_inverse=True)
+    member = np.split(numbers, np.cumsum(sizes)[:-1])
+    kind = np.unique(component, return_inverse=True)[1]
+    root = np.arange(kind.max() + 1)
+    there = np.zeros(len(names), bool)
+    found = []
+    for i in left.tolist():
+        apart = right[root[kind[right]] != root[kind[i]]]
+        agree = np.concatenate([[0], *((sig[apart[lo:lo + 1024]] == sig[i]).sum(axis=1) for lo in range(0, len(apart), 1024))])[1:]
+        hit = apart[agree >= bounds.agreement]
+        if not len(hit):
+            continue
+        there[member[i]] = True
+        common = np.add.reduceat(there[np.concatenate([member[h] for h in hit.tolist()])].astype(np.int64), np.cumsum(sizes[hit]) - sizes[hit])
+        there[member[i]] = False
+        linked = hit[bounds.bottom * common >= bounds.top * (sizes[i] + sizes[hit] - common)]
+        linked = linked[np.unique(root[kind[linked]], return_index=True)[1]]
+        if len(linked):
+            found += [(i, h) for h in linked.tolist()]
+            merge(root, np.full(len(linked), kind[i]), kind[linked])
+            merge(root, root, root)
+    return found
+
+
+def crowded(classes: DataFrame, groups: DataFrame, texts: DataFrame, bounds: Bounds) -> DataFrame:
+    """(a, b) links between different components in regions too large for the sorted order to have met all.
 
     A region's largest component is connected already; every other class of the region meets all classes of other components, in blocks
-    of bounded size, and only pairs whose signatures agree are given out.
+    of bounded size that hold the sets. A block gives out only links that tie components, so its output is linear in its classes.
     """
+    most, most_bytes = BLOCK, BLOCK_BYTES
     place = ordered(classes, bounds.depth).select("tree", "region", "cls").join(groups.withColumnsRenamed({"id": "cls"}), "cls", "left").withColumn(
-        "component", F.coalesce("component", "cls"))
-    parts = place.groupBy("tree", "region", "component").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("tree", "region").agg(F.sum("n").alias("size"), F.count("*").alias("kinds"), F.max(F.struct("n", "component")).alias("top")).where(
-        (F.col("kinds") > 1) & (F.col("size") > NEIGHBOURS + 1))
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / block)).cast("int")
-    mixed = mixed.select("tree", "region", F.col("top.component").alias("main"), blocks(F.col("size") - F.col("top.n")).alias("i_parts"),
-                         blocks(F.col("size")).alias("j_parts"))
-    rows = place.join(mixed, ["tree", "region"]).join(classes.select("cls", "sig"), "cls")
+        "component", F.coalesce("component", "cls")).join(classes.select("cls", (F.col("size") * 8 + 512).alias("bytes")), "cls")
+    parts = place.groupBy("tree", "region", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    mixed = parts.groupBy("tree", "region").agg(
+        F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("kinds"), F.max(F.struct("n", "component", "bytes")).alias("top")).where(
+        (F.col("kinds") > 1) & (F.col("n") > NEIGHBOURS + 1))
+    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / most), F.ceil(size / most_bytes)).cast("int")
+    mixed = mixed.select("tree", "region", F.col("top.component").alias("main"),
+                         blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("i_parts"), blocks(F.col("n"), F.col("bytes")).alias("j_parts"))
+    rows = stored(place.drop("bytes").join(mixed, ["tree", "region"]), "mixed")
+    sets = stored(sets_of(rows.select("cls").distinct(), classes, texts), "sets")
+    rows = rows.join(classes.select("cls", "sig"), "cls").join(sets, "cls")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     mine = lambda n, seed: F.pmod(F.xxhash64("cls", F.lit(seed)), F.col(n)).cast("int")
-    columns = ["tree", "region", "i", "j", "minor", "cls", "component", "sig"]
+    columns = ["tree", "region", "i", "j", "minor", "cls", "component", "sig", "shingles"]
     minor = rows.where("component <> main").withColumns({"minor": F.lit(True), "i": mine("i_parts", 1), "j": every("j_parts")}).select(columns)
     whole = rows.withColumns({"minor": F.lit(False), "j": mine("j_parts", 2), "i": every("i_parts")}).select(columns)
 
     def meet(part: pa.Table) -> pa.Table:
         minor, cls, component = (part.column(c).to_numpy() for c in ("minor", "cls", "component"))
         sig = np.stack([np.frombuffer(x, "<u2") for x in part.column("sig").to_pylist()])
-        left, right = np.flatnonzero(minor), np.flatnonzero(~minor)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        other = np.ascontiguousarray(sig[right].T)
-        for i in left.tolist():
-            same = np.zeros(len(right), np.int16)
-            for k in range(HASHES):
-                same += other[k] == sig[i, k]
-            hit = right[(same >= bounds.agreement) & (component[right] != component[i])]
-            a.append(np.minimum(cls[hit], cls[i]))
-            b.append(np.maximum(cls[hit], cls[i]))
-        return pa.table([np.concatenate(a), np.concatenate(b)], schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        sets = [np.frombuffer(x, "<u8") for x in part.column("shingles").to_pylist()]
+        found = ties(sig, sets, component, np.flatnonzero(minor), np.flatnonzero(~minor), bounds)
+        ends = np.array(found, np.int64).reshape(-1, 2)
+        a, b = cls[ends[:, 0]], cls[ends[:, 1]]
+        return pa.table([np.minimum(a, b), np.maximum(a, b)], schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    return minor.union(whole).groupBy("tree", "region", "i", "j").applyInArrow(meet, "a long, b long").distinct()
+    dealt = minor.union(whole).repartition("tree", "region", "i", "j")
+    return dealt.groupBy("tree", "region", "i", "j").applyInArrow(meet, "a long, b long").where("a <> b").distinct()
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, bounds: Bounds) -> DataFrame:
@@ -250,7 +296,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", bounds: Bounds =
     """(doc_id, n_shingles, component_id, kept, class_id, group_id) of every row; group_id tells components of one component_id apart."""
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), "text")
     rows = stored(described(docs, id_column), "shingled")
-    classes = stored(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
+    classes = stored(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("size"))
                      .where("rep is not null"), "classes")
     pairs = stored(promising(forest(classes, bounds.depth), classes, bounds.agreement), "candidates")
     ends = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "agreement").union(
@@ -265,7 +311,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", bounds: Bounds =
     more = stored(confirmed(open_, classes, texts, bounds), "links")
     links = links.union(more)
     groups = stored(components(links), "groups")
-    rest = stored(confirmed(stored(crowded(classes, groups, bounds), "crowded"), classes, texts, bounds), "links")
+    rest = stored(crowded(classes, groups, texts, bounds), "crowded")
     groups = stored(components(links.union(rest)), "groups")
     least = groups.join(classes.select(F.col("cls").alias("id"), "rep"), "id").groupBy("component").agg(F.min("rep").alias("component_id"))
     of_class = groups.join(least, "component").select(F.col("id").alias("cls"), "component_id", F.col("component").alias("group_id"))

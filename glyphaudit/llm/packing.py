@@ -13,11 +13,14 @@ beside it. The stream is taken in blocks of ``BLOCK`` tokens; a block's last win
 No shuffle: each partition packs what it reads, and only its last sequence can be short. Sequence numbers hold the partition.
 
 Defined cases: null and empty texts are the single end id; repeated rows are packed as often as they occur; an empty table has no
-sequences; ``doc_id`` may be null; other columns are ignored. Text that spells a special token is ordinary text.
+sequences; ``doc_id`` may be null; other columns are ignored. Text that spells an added token of the tokenizer is that token, as in the
+library; what stands around it is encoded as texts of its own.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections import deque
 
@@ -31,6 +34,7 @@ from .bpe_fst import PieceCache, encode_texts, read_ranks, text_slices
 from .common import emit, kept_in_worker, table, without_collection
 
 VOCABULARY = "byte_bpe_50k.tiktoken"   # the ranks of byte_bpe_50k.json
+TOKENIZER = "byte_bpe_50k.json"        # names the added tokens
 LENGTH, END_ID = 2048, 1
 SENTENCE, INSIDE, WINDOW = 4, 24, 32   # penalties in tokens of padding: sentence cut, cut inside a sentence, each window
 STRETCH, STEP, LEAST_POWER = 96, 32, 512
@@ -48,6 +52,29 @@ def tokenizer(path: str) -> tuple[PieceCache, np.ndarray]:
     return PieceCache(core.encode_ordinary), ends
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Tokens that a tokenizer file adds to its vocabulary, by their text. Read on the driver: the file is part of the library."""
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
+def encode_documents(texts: list[str], cache: PieceCache, pattern: str, added: dict[str, int]) -> list[bytes]:
+    """Ids of each text as little-endian 32-bit bytes. Added tokens are found first, the leftmost and of those the longest."""
+    if not added:
+        return encode_texts(texts, cache, pattern)
+    mark = re.compile("|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)))
+    marked = [i for i, t in enumerate(texts) if mark.search(t)]
+    if not marked:
+        return encode_texts(texts, cache, pattern)
+    ids = {t: np.array([i], "<u4").tobytes() for t, i in added.items()}
+    out = encode_texts(["" if i in set(marked) else t for i, t in enumerate(texts)], cache, pattern)
+    for i in marked:
+        parts = encode_texts(mark.split(texts[i]), cache, pattern)
+        found = mark.findall(texts[i])
+        out[i] = b"".join([parts[0], *(ids[t] + part for t, part in zip(found, parts[1:]))])
+    return out
+
+
 def cut_stream(places: np.ndarray, penalties: np.ndarray, length: int = LENGTH, window: int = WINDOW, least_power: int = LEAST_POWER) -> list[int]:
     """Indexes into ``places`` (ascending, first 0, gaps of at most ``length``) of the cheapest cuts, first and last included."""
     n = len(places)
@@ -149,8 +176,8 @@ class Packer:
         return names, columns
 
 
-def packed(docs: DataFrame, path: str, id_column: str = "doc_id", end_id: int = END_ID) -> DataFrame:
-    """One row per piece of a document in a sequence."""
+def packed(docs: DataFrame, path: str, id_column: str = "doc_id", end_id: int = END_ID, added: dict[str, int] | None = None) -> DataFrame:
+    """One row per piece of a document in a sequence. ``added``: tokens that are found in the text before it is split."""
     field = docs.schema[id_column]
     kind, pattern, end = field.dataType.simpleString(), public_tokenizers.PATTERN, np.array([end_id], "<u4").tobytes()
 
@@ -170,7 +197,7 @@ def packed(docs: DataFrame, path: str, id_column: str = "doc_id", end_id: int =
             schema = schema or pa.schema([pa.field(id_column, batch.schema.field(0).type), *PIECES])
             for lo, hi, texts in text_slices(batch):
                 names = batch.column(0).slice(lo, hi - lo).to_pylist()
-                for name, ids in zip(names, encode_texts(texts, cache, pattern)):
+                for name, ids in zip(names, encode_documents(texts, cache, pattern, added or {})):
                     if packer.add(name, ids + end):
                         yield out(False)
         if schema is not None:
@@ -181,9 +208,9 @@ def packed(docs: DataFrame, path: str, id_column: str = "doc_id", end_id: int =
 
 
 def op9_packing_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+    return packed(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), added=added_tokens(public_tokenizers.path(TOKENIZER)))
 
 
 def packed_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the pieces of all documents."""
-    return packed(docs, public_tokenizers.path(VOCABULARY))
+    return packed(docs, public_tokenizers.path(VOCABULARY), added=added_tokens(public_tokenizers.path(TOKENIZER)))

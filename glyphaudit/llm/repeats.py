@@ -10,7 +10,8 @@ equal exactly if both parts lie in one run. This gives the covered stretch aroun
 Texts are classes of equal content. A text with copies is removed whole if it is long enough; it still meets others once.
 
 Defined cases: null texts are empty; texts shorter than a window are kept; repeated rows are copies of each other; matches never cross texts;
-an empty table gives no rows; other columns are ignored. In the pipeline a character cut by a removal is dropped with it.
+an empty table gives no rows; texts above two ``BLOCK`` are taken in blocks that see their surroundings, so their length changes nothing; other
+columns are ignored. In the pipeline a character cut by a removal is dropped with it.
 """
 
 from __future__ import annotations
@@ -102,6 +103,9 @@ ANCHORS = pa.schema([(n, pa.int64()) for n in ("gram", "cls", "place", "context"
 
 def _known(row: np.ndarray, place: np.ndarray, gram: np.ndarray, context: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list]:
     """Anchors to go on with, and (row, start, stop) that are repeats already: of equal contexts seen together one goes on."""
+    if not len(row):
+        none = np.zeros(0, np.int64)
+        return none, [none, none, none]
     order = np.lexsort((context, gram))
     same = (gram[order][1:] == gram[order][:-1]) & (context[order][1:] == context[order][:-1])
     again, several = np.concatenate([[False], same]), np.concatenate([[False], same]) | np.concatenate([same, [False]])
