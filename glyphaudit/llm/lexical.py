@@ -6,7 +6,8 @@ clustered by the similarity of its documents (nearest of evenly spaced pivots un
 most ``BLOCK``. A block keeps a summary: the coordinatewise maximum of its documents' vectors. The product of a query with a summary is an
 exact upper bound of every score in the block.
 
-A query goes through the blocks of its terms in falling order of these bounds. It stops at the first bound below the score it needs to enter the
+A list is blocked when a query first needs it; lists whose own greatest shares together stay below the score a query needs are left out, as no
+document found in them alone can reach it. A query goes through the blocks of its other terms in falling order of their bounds. It stops at the first bound below the score it needs to enter the
 k best found so far; equal bounds are still looked at, as ties go to smaller ids. Documents of blocks not skipped are scored exactly.
 What a query needs is known beforehand from a first scan that scores all documents holding one of the query's ``SEEDS`` rarest terms: its
 k-th best is a lower bound everywhere.
@@ -214,49 +215,56 @@ def rows_of(batch: pa.RecordBatch, queries: Queries):
 
 
 class Blocks:
-    """The posting lists of a segment in blocks, with their summaries. Blocks of a term follow each other, as do their entries."""
+    """The posting lists of a segment; a list's blocks and their summaries are made when it is first asked for."""
 
     def __init__(self, rows: Rows, size: int):
         self.rows = rows
         doc = np.repeat(np.arange(len(rows.ids)), np.diff(rows.at))
-        signs = kept_in_worker("lexical sketch", lambda: np.random.default_rng(17).choice(np.array([-1, 1], np.int8), (1 << 12, SKETCH)))
-        place = rows.terms & 0xFFF
-        sketch = np.stack([np.bincount(doc, signs[place, k] * rows.share, len(rows.ids)) for k in range(SKETCH)], axis=1)
-        sketch = (sketch / np.maximum(np.linalg.norm(sketch, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-        order = np.argsort(rows.terms, kind="stable")
-        lists = doc[order]
-        ends = np.cumsum(np.bincount(rows.terms, minlength=size))
-        self.first = np.zeros(size + 1, np.int64)      # first block of each term
-        docs, terms, tops = [], [], []
-        top = np.zeros(size, np.int64)
-        lo = 0
-        for t, hi in enumerate(ends.tolist()):
-            self.first[t] = len(docs)
-            if hi > lo:
-                for members in self._clusters(lists[lo:hi], sketch):
+        self.lists = doc[np.argsort(rows.terms, kind="stable")]
+        self.ends = np.cumsum(np.bincount(rows.terms, minlength=size))
+        self.most = np.zeros(size, np.int64)      # the summary of a whole list in its own term
+        np.maximum.at(self.most, rows.terms, rows.share)
+        self.top = np.zeros(size, np.int64)
+        self.made: dict[int, tuple] = {}
+        self.sketch = None
+
+    def _sketch(self) -> np.ndarray:
+        """Random projections of the rows' vectors, of length 1."""
+        if self.sketch is None:
+            rows = self.rows
+            doc = np.repeat(np.arange(len(rows.ids)), np.diff(rows.at))
+            signs = kept_in_worker("lexical sketch", lambda: np.random.default_rng(17).choice(np.array([-1, 1], np.int8), (1 << 12, SKETCH)))
+            place = rows.terms & 0xFFF
+            sketch = np.stack([np.bincount(doc, signs[place, k] * rows.share, len(rows.ids)) for k in range(SKETCH)], axis=1)
+            self.sketch = (sketch / np.maximum(np.linalg.norm(sketch, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+        return self.sketch
+
+    def of(self, t: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """(documents of each block, where its summary begins, terms and maxima of the summaries) of a term's list."""
+        if t not in self.made:
+            rows, top, terms, tops = self.rows, self.top, [], []
+            docs = self.lists[self.ends[t - 1] if t else 0:self.ends[t]]
+            blocks = [docs] if len(docs) <= BLOCK else self._clusters(docs, self._sketch())
+            for members in blocks:
+                if len(members) == 1:
+                    entries = slice(rows.at[members[0]], rows.at[members[0] + 1])
+                    at, most = rows.terms[entries], rows.share[entries]
+                else:
                     places, _ = rows.entries(members)
-                    if len(members) == 1:
-                        at, most = rows.terms[places], rows.share[places]
-                    else:
-                        np.maximum.at(top, rows.terms[places], rows.share[places])
-                        at = np.flatnonzero(top)
-                        most = top[at]
-                        top[at] = 0
-                    docs.append(members)
-                    terms.append(at.astype(np.int32))
-                    tops.append(most.astype(np.int32))   # shares are at most a million
-            lo = hi
-        self.first[size] = len(docs)
-        self.docs = docs
-        self.at = np.concatenate([[0], np.cumsum([len(t) for t in terms])])
-        self.terms, self.tops = np.concatenate(terms), np.concatenate(tops)
+                    np.maximum.at(top, rows.terms[places], rows.share[places])
+                    at = np.flatnonzero(top)
+                    most = top[at]
+                    top[at] = 0
+                terms.append(at)
+                tops.append(most)
+            size = np.array([len(x) for x in terms])
+            self.made[t] = blocks, np.cumsum(size) - size, np.concatenate(terms), np.concatenate(tops).astype(np.int32)   # shares are at most a million
+        return self.made[t]
 
     @staticmethod
     def _clusters(docs: np.ndarray, sketch: np.ndarray) -> list[np.ndarray]:
         """A posting list in blocks of similar documents."""
         n = len(docs)
-        if n <= BLOCK:
-            return [docs]
         pivots = docs[np.linspace(0, n - 1, -(-n // BLOCK)).astype(np.int64)]
         home = (sketch[docs] @ sketch[pivots].T).argmax(axis=1)
         docs, home = docs[np.argsort(home, kind="stable")], np.sort(home)
@@ -265,16 +273,20 @@ class Blocks:
             out += [part[i:i + BLOCK] for i in range(0, len(part), BLOCK)]
         return out
 
-    def bounds(self, terms: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(blocks of the terms, upper bounds of their scores)."""
+    def bounds(self, terms: np.ndarray, weight: np.ndarray, needed: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """(documents, upper bound of their scores) of the blocks in which a score of ``needed`` may be.
+
+        The lists of terms whose own summaries together stay below it are left out: a document in none of the other lists cannot reach it.
+        """
+        most = weight[terms] * self.most[terms]
+        order = np.argsort(most, kind="stable")
+        hope = terms[order[(np.cumsum(most[order]) >= needed) & (most[order] > 0)]]
         blocks, bounds = [], []
-        for t in terms.tolist():
-            a, b = int(self.first[t]), int(self.first[t + 1])
-            if a < b:
-                lo, hi = self.at[a], self.at[b]
-                blocks.append(np.arange(a, b))
-                bounds.append(np.add.reduceat(weight[self.terms[lo:hi]] * self.tops[lo:hi], self.at[a:b] - lo))
-        return (np.concatenate(blocks), np.concatenate(bounds)) if blocks else (np.zeros(0, np.int64),) * 2
+        for t in hope.tolist():
+            docs, at, own, tops = self.of(t)
+            blocks += docs
+            bounds.append(np.add.reduceat(weight[own] * tops, at))
+        return blocks, np.concatenate(bounds) if blocks else np.zeros(0, np.int64)
 
 
 class Best:
@@ -307,26 +319,29 @@ class Best:
 
 
 def look(blocks: Blocks, queries: Queries, best: Best, weight: np.ndarray) -> int:
-    """Take the queries through a segment; the number of blocks skipped. ``weight`` is zero and is left so."""
-    skipped = 0
+    """Take the queries through a segment; the number of blocks looked into. ``weight`` is zero and is left so."""
+    looked = 0
     for q, terms in enumerate(queries.terms):
         weight[terms] = queries.factors(q)
-        at, bounds = blocks.bounds(terms, weight)
+        docs, bounds = blocks.bounds(terms, weight, int(best.needed[q]))
         hope = np.flatnonzero(bounds >= best.needed[q])
         hope = hope[np.argsort(-bounds[hope], kind="stable")]
         seen, lo, step = np.zeros(len(blocks.rows.ids), bool), 0, 1
         while lo < len(hope) and bounds[hope[lo]] >= best.needed[q]:
             some = hope[lo:lo + step]
             some = some[bounds[some] >= best.needed[q]]
-            docs = np.unique(np.concatenate([blocks.docs[b] for b in at[some].tolist()]))
-            docs = docs[~seen[docs]]
-            seen[docs] = True
-            if len(docs):
-                best.add(q, blocks.rows.scores(docs, weight), blocks.rows.ids[docs], blocks.rows.null[docs])
+            new = np.zeros(len(seen), bool)
+            for b in some.tolist():
+                new[docs[b]] = True
+            new &= ~seen
+            seen |= new
+            rows = np.flatnonzero(new)
+            if len(rows):
+                best.add(q, blocks.rows.scores(rows, weight), blocks.rows.ids[rows], blocks.rows.null[rows])
             lo, step = lo + len(some), min(2 * step, 64)
-        skipped += len(at) - lo
+        looked += lo
         weight[terms] = 0
-    return skipped
+    return looked
 
 
 def seeded(queries: Queries, vectors: DataFrame, k: int, seeds: int = SEEDS) -> Queries:
