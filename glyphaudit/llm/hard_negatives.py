@@ -8,8 +8,8 @@ field is as wide as the largest product the block can have with any anchor; wher
 vectors), the same sums are made with unbounded integers.
 
 Blocks are stored once and met twice by the anchors, which come in blocks too: first for each anchor's positives, its best rows of the
-same label, then, for every positive, for the best rows of other labels whose score lies in the wanted share of the positive's. A pair of blocks gives
-out at most k rows an anchor (and positive), which are ranked at last.
+same label, then, for every positive, for the best rows of other labels whose score lies in the wanted share of the positive's. A task keeps
+the best k for each anchor (and score) over the blocks it takes, which are ranked at last.
 
 Defined cases: rows with a null id, label or vector, or with a null or non-finite component take no part; zero and empty vectors do (their
 products are 0); only vectors of equal length meet; repeated rows count once; rows that share an id are rows of their own, but none is a candidate
@@ -164,17 +164,32 @@ def met(packed: DataFrame, asking: DataFrame, negatives: bool) -> DataFrame:
     left = left.join(holds, "width").withColumn("b", F.explode("blocks")).select("*", F.col("b.row_wide").alias("row_wide"), F.col("b.r").alias("r")).drop("blocks", "b")
     # every row is a block of megabytes: dealt out by both numbers, never broadcast
     pairs = left.join(right.hint("merge"), ["width", "wide", "q", "row_wide", "r"]).select(
-        "width", "n", "fields", "bits", "bias", "row_ids", "row_labels", "words", "ids", "labels", "keys", "wanted", "rows")
+        "width", "wide", "q", "n", "fields", "bits", "bias", "row_ids", "row_labels", "words", "ids", "labels", "keys", "wanted", "rows")
     schema = pa.schema([("anchor_id", pa.int64()), ("key", pa.int64()), ("wanted", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
+    most = NEGATIVES if negatives else POSITIVES
+
     def run(batches):
+        block, best = None, {}    # of the anchor block at hand: (anchor, key, wanted) -> best scores and ids of the blocks met so far
         for batch in batches:
             columns = {f.name: batch.column(i) for i, f in enumerate(batch.schema)}
             for i in range(batch.num_rows):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(meet(*(columns[c][i] for c in (
-                    "width", "n", "fields", "bits", "bias", "row_ids", "row_labels", "words", "ids", "labels", "keys", "wanted", "rows"))), schema)], schema=schema)
-
-    def meet(width, n, fields, bits, bias, row_ids, row_labels, words, ids, labels, keys, wanted, rows):
+                now = tuple(columns[c][i].as_py() for c in ("width", "wide", "q"))
+                if now != block:   # the join has sorted the rows by anchor block
+                    yield given(best)
+                    block, best = now, {}
+                meet(best, *(columns[c][i] for c in ("width", "n", "fields", "bits", "bias", "row_ids", "row_labels", "words", "ids", "labels", "keys", "wanted", "rows")))
+        yield given(best)
+
+    def given(best):
+        size = [len(ids) for _, ids in best.values()]
+        names = [np.repeat(np.array([k[c] for k in best], np.int64), size) for c in (0, 1)]
+        wanted = pa.array([k[2] for k, n in zip(best, size) for _ in range(n)], pa.int64())
+        scores, ids = ([x for pair in best.values() for x in pair[c].tolist()] for c in (0, 1))
+        return pa.RecordBatch.from_arrays([*map(pa.array, names), wanted, pa.array(ids, pa.int64()),
+                                           pa.array([min(max(int(x), LONG[0]), LONG[1]) for x in scores], pa.int64())], schema=schema)
+
+    def meet(best, width, n, fields, bits, bias, row_ids, row_labels, words, ids, labels, keys, wanted, rows):
         width, n, fields, bits, bias = (x.as_py() for x in (width, n, fields, bits, bias))
         longs = lambda x: np.frombuffer(x.as_buffer(), np.int64)
         row_ids, row_labels, ids, labels, keys = map(longs, (row_ids, row_labels, ids, labels, keys))
@@ -182,26 +197,28 @@ def met(packed: DataFrame, asking: DataFrame, negatives: bool) -> DataFrame:
         columns = -(-n // fields) if fields else n
         asked = np.frombuffer(rows.as_buffer(), np.float64).reshape(len(ids), width)
         words = np.frombuffer(words.as_buffer(), np.float64).reshape(width, columns)
-        out = [[] for _ in range(5)]
 
         def give(i, want, at, scores):
-            for column, value in zip(out, ([int(ids[i])] * len(at), [int(keys[i])] * len(at), [want] * len(at), row_ids[at].tolist(),
-                                           [min(max(int(x), LONG[0]), LONG[1]) for x in scores[at].tolist()])):
-                column.extend(value)
+            if not len(at):
+                return
+            key, found = (int(ids[i]), int(keys[i]), want), (scores[at], row_ids[at])
+            if key in best:
+                found = tuple(np.concatenate(pair) for pair in zip(best[key], found))
+            at = first(*found, most)
+            best[key] = found[0][at], found[1][at]
 
         for lo in range(0, len(ids), AT_ONCE):
             for i, scores in enumerate(products(asked[lo:lo + AT_ONCE], words, fields, bits, bias, n), lo):
                 own = row_labels == labels[i]
                 if not negatives:
                     at = np.flatnonzero(own & (row_ids != ids[i]))
-                    give(i, None, at[first(scores[at], row_ids[at], POSITIVES)], scores)
+                    give(i, None, at[first(scores[at], row_ids[at], most)], scores)
                     continue
                 other = np.flatnonzero(~own & (row_ids != ids[i]))
                 hundred = 100 * scores[other]
                 for want in sorted(set(wanted[i, 1:1 + wanted[i, 0]].tolist())):
                     at = other[(hundred >= LOW * want) & (hundred <= HIGH * want)]
-                    give(i, want, at[first(scores[at], row_ids[at], NEGATIVES)], scores)
-        return out
+                    give(i, want, at[first(scores[at], row_ids[at], most)], scores)
 
     return pairs.mapInArrow(run, "anchor_id long, key long, wanted long, vec_id long, score long")
 
