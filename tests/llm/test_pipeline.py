@@ -26,11 +26,11 @@ def test_stages(spark, sf):
     toxic = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 0").collect()}
     clean = toxic & set(seen["language_id"])
     assert len(clean & set(seen["toxicity"])) >= 0.9 * len(clean) and all(seen["toxicity"][i] == given[i] for i in seen["toxicity"])
-    # near duplicates: the smallest id of each group of what came in
+    # near duplicates, from 0.8 up: the smallest id of each group of what came in
     sets = {i: shingle_set(r.text) for i, r in seen["toxicity"].items()}
     ids = sorted(sets)
     edges = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1:]
-             if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+             if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     assert set(seen["near_dup"]) == {i for i, c in grouped(ids, edges).items() if i == c}
     # repeated passages are cut, nothing else changes
     left = [(i, r.text, None) for i, r in seen["near_dup"].items()]
