@@ -10,15 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from glyphaudit.llm.common import stored, table
 from glyphaudit.llm.language_id import identified
-from glyphaudit.llm.near_dup import without_near_duplicates
+from glyphaudit.llm.near_dup import FROM_80, without_near_duplicates
 from glyphaudit.llm.packing import packed_stage
 from glyphaudit.llm.repeats import without_repeats
 from glyphaudit.llm.toxicity import without_toxic
 
+
+def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays; linked are texts of likeness 0.8 or more."""
+    return without_near_duplicates(spark, docs, sf_dir, FROM_80)
+
+
 STAGES = [
     ("language_id", identified),
     ("toxicity", without_toxic),
-    ("near_dup", without_near_duplicates),
+    ("near_dup", near_dup),
     ("suffix_dedup", without_repeats),
     ("packing", packed_stage),
 ]
