@@ -46,7 +46,7 @@ def pack(v: np.ndarray, most: int) -> tuple[np.ndarray, int, int, int]:
         return np.ascontiguousarray(v.T), 0, 0, 0
     filled = np.zeros((d, -(-n // fields) * fields))
     filled[:, :n] = v.T - low
-    return filled.reshape(d, -1, fields) @ (2.0 ** (bits * np.arange(fields))), fields, bits, -low
+    return filled.reshape(d, -(-n // fields), fields) @ (2.0 ** (bits * np.arange(fields))), fields, bits, -low
 
 
 def unpacked(words: np.ndarray, fields: int, bits: int, bias: int, n: int) -> np.ndarray:
@@ -57,7 +57,7 @@ def unpacked(words: np.ndarray, fields: int, bits: int, bias: int, n: int) -> np
     for _ in range(fields):
         out.append(rest & ((1 << bits) - 1))
         rest >>= bits
-    return (np.stack(out, axis=2).reshape(len(words), -1)[:, :n] - bias).astype(np.float64).T
+    return (np.stack(out, axis=2).reshape(len(words), words.shape[1] * fields)[:, :n] - bias).astype(np.float64).T
 
 
 def products(anchors: np.ndarray, words: np.ndarray, fields: int, bits: int, bias: int, n: int) -> np.ndarray:

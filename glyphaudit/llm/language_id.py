@@ -20,12 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import Shared, emit, held_out, slices, table, text_column
+from .common import Shared, emit, held_out, slices, table, text_column, trimmed
 
 ORDER = 4
 TRAIN_ROWS = 500         # labelled rows per language
 TRAIN_BYTES = 1_500_000  # and their bytes together (the first row is always taken)
-PARTS = 16               # parts of a language that are ranked apart
+SPARE = 4                # times the rows wanted that are ranked, for the sake of repeated texts
 U = np.uint64
 
 
@@ -34,9 +34,9 @@ def training_rows(labelled: DataFrame, rows: int = TRAIN_ROWS, size: int = TRAIN
     light = labelled.where("label is not null and text is not null and octet_length(text) > 0").select(
         "label", F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"))
     w = Window.partitionBy("label").orderBy("h")
-    # a language may hold any share of all rows: first within parts of it, then among what they leave
-    part = Window.partitionBy("label", F.pmod(F.shiftright("h", 8), F.lit(PARTS))).orderBy("h")
-    light = light.withColumn("r", F.row_number().over(part)).where(F.col("r") <= rows)
+    # hashes are even: of a language of any size only about ``SPARE`` times the rows wanted can be among the first
+    sizes = light.groupBy("label").agg(F.count("*").alias("all"))
+    light = light.join(sizes, "label").where(F.col("h") <= F.lit(2.0 ** 64) * (F.least(F.lit(1.0), SPARE * rows / F.col("all")) - 0.5)).drop("all")
     ranked = light.withColumn("r", F.row_number().over(w)).where(F.col("r") <= rows)
     total = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))
     chosen = ranked.withColumn("t", total).where((F.col("t") <= size) | (F.col("r") == 1)).select("label", "h").distinct()
@@ -228,7 +228,7 @@ def predict(docs: DataFrame, model: Model, id_column: str = "doc_id") -> DataFra
                 [batch.column(0), pa.array(names[best], pa.string()), pa.array(share), pa.array(rate)],
                 names=[id_column, "lang_pred", "score", "bits_per_byte"])
 
-    return prepared.mapInArrow(score, f"`{id_column}` {kind}, lang_pred string, score double, bits_per_byte double")
+    return prepared.mapInArrow(trimmed(score), f"`{id_column}` {kind}, lang_pred string, score double, bits_per_byte double")
 
 
 def train_on_fold(documents: DataFrame) -> Model:
@@ -267,4 +267,4 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
                 stays = np.asarray(batch.column(batch.num_columns - 1)) & (bits.min(axis=1) < 8.0 * np.diff(offsets))
             yield batch.select(names).filter(pa.array(stays))
 
-    return marked.mapInArrow(keep, docs.schema)
+    return marked.mapInArrow(trimmed(keep), docs.schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import emit, fixed_binary, kept_in_worker, slices, stored, table, text_column
+from .common import emit, fixed_binary, kept_in_worker, slices, stored, table, text_column, trimmed
 from .components import components
 from .embedding_dup import merge
 from .words import U, mix, word_hashes
@@ -108,7 +108,7 @@ def described(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
                                     [signature(s).tobytes() if len(s) else None for s in sets]])
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, cls long, sig binary")
+        trimmed(run), "doc_id long, n_shingles long, cls long, sig binary")
 
 
 def ordered(classes: DataFrame, depth: int) -> DataFrame:
@@ -289,7 +289,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, bounds: Bo
         if verdict():
             yield emit(schema, [[pair[0]], [pair[1]]])
 
-    return rows.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(check, "a long, b long")
+    return rows.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(trimmed(check), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", bounds: Bounds = FROM_85) -> DataFrame:
@@ -335,7 +335,7 @@ def with_class(docs: DataFrame) -> DataFrame:
                    for s in shingles(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cls, pa.int64())], names=[*batch.schema.names, "__cls"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__cls", LongType())]))
+    return docs.mapInArrow(trimmed(run), StructType([*docs.schema.fields, StructField("__cls", LongType())]))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, bounds: Bounds = FROM_85) -> DataFrame:

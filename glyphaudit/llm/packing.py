@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_fst import PieceCache, encode_texts, read_ranks, text_slices
-from .common import emit, kept_in_worker, table, without_collection
+from .common import emit, kept_in_worker, table, trimmed, without_collection
 
 VOCABULARY = "byte_bpe_50k.tiktoken"   # the ranks of byte_bpe_50k.json
 TOKENIZER = "byte_bpe_50k.json"        # names the added tokens
@@ -39,6 +39,7 @@ LENGTH, END_ID = 2048, 1
 SENTENCE, INSIDE, WINDOW = 4, 24, 32   # penalties in tokens of padding: sentence cut, cut inside a sentence, each window
 STRETCH, STEP, LEAST_POWER = 96, 32, 512
 BLOCK = 1 << 20
+KEPT_PIECES = 150_000                  # encoded pieces a worker keeps, twice at most
 
 
 def tokenizer(path: str) -> tuple[PieceCache, np.ndarray]:
@@ -49,7 +50,7 @@ def tokenizer(path: str) -> tuple[PieceCache, np.ndarray]:
     core = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     ends = np.zeros(max(ranks.values()) + 2, bool)
     ends[[i for t, i in ranks.items() if t.rstrip(b"\"')]")[-1:] in (b".", b"!", b"?", b"\n")]] = True
-    return PieceCache(core.encode_ordinary), ends
+    return PieceCache(core.encode_ordinary, KEPT_PIECES), ends
 
 
 def added_tokens(path: str) -> dict[str, int]:
@@ -204,7 +205,7 @@ def packed(docs: DataFrame, path: str, id_column: str = "doc_id", end_id: int =
             yield out(True)
 
     return docs.select(id_column, "text").mapInArrow(
-        run, f"`{id_column}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+        trimmed(run), f"`{id_column}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op9_packing_dp(spark: SparkSession, sf_dir: str) -> DataFrame:

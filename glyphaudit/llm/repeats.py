@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import emit, slices, stored, table, text_column
+from .common import emit, slices, stored, table, text_column, trimmed
 from .suffix_sort import deep_shallow
 from .words import RAW_VALUE, U, mix, prefix_sums
 
@@ -140,7 +140,7 @@ def repeated_anchors(texts: DataFrame) -> DataFrame:
                     yield emit(ANCHORS, [key, own[r], start, np.zeros(len(r), np.int64), stop])
 
     found = texts.where(f"octet_length(text) >= {WINDOW}").select("cls", "text").mapInArrow(
-        find, "gram long, cls long, place long, context long, stop long")
+        trimmed(find), "gram long, cls long, place long, context long, stop long")
 
     def pick(batches):
         held, repeated = None, False   # the last anchor waits for its successor; is its gram known to repeat?
@@ -184,7 +184,7 @@ def contexts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield emit(schema, [grams, np.full(len(at), cls[i]), places, [text[max(0, p - REACH):p][::-1] for p in at],
                                     [text[p + GRAM:p + WINDOW] for p in at]])
 
-    return joined.mapInArrow(cut, "gram long, cls long, place long, left binary, right binary")
+    return joined.mapInArrow(trimmed(cut), "gram long, cls long, place long, left binary, right binary")
 
 
 def covered(gram: np.ndarray, left: list[bytes], right: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -245,7 +245,7 @@ def stretches(contexts: DataFrame) -> DataFrame:
         if held is not None:
             yield solve(*held)
 
-    return contexts.repartition("gram").sortWithinPartitions("gram", "cls", "place").mapInArrow(run, "cls long, start long, stop long")
+    return contexts.repartition("gram").sortWithinPartitions("gram", "cls", "place").mapInArrow(trimmed(run), "cls long, start long, stop long")
 
 
 def removed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -354,4 +354,4 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(columns[n], batch.schema.field(n).type) if n in columns else batch.column(i)
                                               for i, n in enumerate(names)], names=names)
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(trimmed(run), docs.schema)

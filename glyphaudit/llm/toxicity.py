@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Shared, held_out, slices, table, text_column
+from .common import Shared, held_out, slices, table, text_column, trimmed
 from .words import U, word_hashes
 
 PREFIXES = (3, 4, 5, 6, 7)
@@ -203,7 +203,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(model.sums(*text_column(batch, "text")) < 0))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(trimmed(keep), docs.schema)
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

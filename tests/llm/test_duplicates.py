@@ -207,3 +207,45 @@ def test_repeats_stage_cuts_texts(documents):
         text = None if t is None else b[5].decode("utf-8", "ignore")
         want.append((i, text, None if t is None else len(text)))
     assert got == sorted(want, key=str)
+
+
+def test_long_texts_at_the_real_block_size():
+    """Texts a little longer than two blocks: the last block may be empty or hold no anchor. Blocks find what one pass finds."""
+    r = np.random.default_rng(5)
+    text = r.integers(97, 123, 2 * rp.BLOCK + 200, dtype=np.uint8)
+    for tail in range(1, 200):
+        data = text[:2 * rp.BLOCK + tail]
+        sizes = np.array([len(data)])
+        if tail % 40 == 1:
+            whole = np.sort(np.concatenate([place for _, place, _, _ in [rp.anchors(data, np.array([0, len(data)]))]]))
+            parts = list(rp.all_anchors(data, np.array([0, len(data)])))
+            assert np.array_equal(np.sort(np.concatenate([p for _, p, _, _ in parts])), whole)
+            for part in parts:
+                on, known = rp._known(*part, sizes)
+                assert len(on) == len(part[0]) and not len(known[0])
+        else:   # only the last block
+            begin = 2 * rp.BLOCK
+            a = begin - rp.REACH
+            row, place, gram, context = rp.anchors(data[a:], np.array([0, len(data) - a]))
+            mine = place + a >= begin
+            rp._known(row[mine], place[mine] + a, gram[mine], context[mine], sizes)
+
+
+def test_crowded_output_is_linear():
+    """Near copies that agree but hardly link: a block gives out fewer links than it has classes."""
+    for n in (500, 2000):
+        r = np.random.default_rng(n)
+        base = np.arange(100, dtype=np.uint64)
+        sets = []
+        for i in range(n):
+            own = base.copy()
+            own[r.choice(100, 6 + i % 3, replace=False)] = r.integers(1000, 1 << 60, 6 + i % 3, dtype=np.uint64)
+            sets.append(np.unique(own))
+        sig = np.zeros((n, nd.HASHES), "<u2")   # all signatures agree: every pair is confirmed on its sets
+        found = nd.ties(sig, sets, np.arange(n), np.arange(n), np.arange(n), nd.FROM_85)
+        assert len(found) < n
+        linked = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))
+        assert all(linked(a, b) for a, b in found)
+        if n == 500:
+            edges = [(a, b) for a in range(n) for b in range(a + 1, n) if linked(a, b)]
+            assert grouped(range(n), edges) == grouped(range(n), found) and len(edges) > n

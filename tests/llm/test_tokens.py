@@ -192,3 +192,22 @@ def test_matrix_is_lossless(documents):
         else:
             assert np.array_equal(np.concatenate(parts), want)
     assert mx.matrix(documents([]), ENGLISH).count() == 0
+
+
+def test_added_tokens_as_the_library(documents):
+    """Texts that spell the tokenizer's added token, by the library's own setting."""
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "<|endoftext|><|endoftext|> x", "it's <|endoftext|>'s  <|endof", "<|endoftext|", " é <|endoftext|>\n\n日本", "plain", None]
+    library, added = Tokenizer.from_file(public.path("byte_bpe_50k.json")), pk.added_tokens(public.path(pk.TOKENIZER))
+    assert added == {"<|endoftext|>": 50256}
+    docs = documents([(i, t, "en") for i, t in enumerate(texts)])
+    want = {i: np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for i, t in enumerate(texts)}
+    pieces = {}
+    for r in sorted(pk.packed(docs, ENGLISH, added=added).collect(), key=lambda r: (r.doc_id, r.start)):
+        ids = want[r.doc_id][r.start:r.start + r.length]
+        assert r.ids_crc32 == zlib.crc32(ids.tobytes()) and r.doc_tokens == len(want[r.doc_id])
+        pieces[r.doc_id] = pieces.get(r.doc_id, 0) + r.length
+    assert pieces == {i: len(x) for i, x in want.items()}
+    for r in mx.matrix(docs, ENGLISH, added=added).collect():
+        ids = np.frombuffer(bytes(r.ids), "<u2")
+        for i, a, b, start in zip(r.doc_ids, r.cu_seqlens, r.cu_seqlens[1:], r.starts):
+            assert ids[a:b].tolist() == [*want[i][:-1], mx.END_ID][start:start + b - a]
