@@ -209,5 +209,5 @@ def test_added_tokens_as_the_library(documents):
     assert pieces == {i: len(x) for i, x in want.items()}
     for r in mx.matrix(docs, ENGLISH, added=added).collect():
         ids = np.frombuffer(bytes(r.ids), "<u2")
-        for i, a, b, start in zip(r.doc_ids, r.cu_seqlens, r.cu_seqlens[1:], r.starts):
+        for i, a, b, start in zip(r.doc_ids, r.cu_seqlens, r.cu_seqlens[1:], r.doc_starts):
             assert ids[a:b].tolist() == [*want[i][:-1], mx.END_ID][start:start + b - a]
