@@ -101,10 +101,12 @@ def transcode(
         F.when(F.col("_slow"), F.col(content)), F.col("_source"), F.lit(target), F.lit(want_bom)
     ))
     staged = staged.withColumn("_code", F.when(
-        F.col("_slow"), _code_of_facts(F.col("_t"), F.col(content), target, want_bom)
+        F.col("_slow"), _code_of_facts(
+            F.col("_t"), F.length(content), target, want_bom, F.col("_t.sha256") == F.col("_t.target_sha256"))
     ))
     result = F.when(F.col("_slow"), _from_facts(
-        F.col("_t"), F.col("_code"), F.col(content), F.col("_source"), target, want_bom
+        F.col("_t"), F.col("_code"), F.length(content), F.col("_source"), target, want_bom,
+        F.length(F.col("_t.output")), F.col("_t.output")
     ))
     if fast:
         # read back and compare text with text, which implies equal digests
@@ -157,28 +159,31 @@ def mismatch_message(scalars: Column, units: Column, target_scalars: Column, tar
     ).otherwise(F.format_string("decoded content differs: both have %d scalars", scalars))
 
 
-def _code_of_facts(f: Column, content: Column, target: str, want_bom: bool) -> Column:
-    """Error code of a row that went through Arrow; the first fault in this order counts."""
+def _code_of_facts(f: Column, size: Column, target: str, want_bom: bool, same: Column) -> Column:
+    """Error code of a row that went through Arrow; the first fault in this order counts. ``same``: the target holds the source's text."""
     return (
-        F.when(content.isNull(), "SourceReadError")
+        F.when(size.isNull(), "SourceReadError")
         .when(f.isNull(), "Unexpected")
         .when(f["decode_error_at"].isNotNull(), "SourceDecodeError")
         .when(f["encode_error_cp"].isNotNull(), "TargetEncodeError")
         .when(F.lit(target in BOM_OF) & (f["target_mark"] != F.lit(want_bom)), "BomMismatch")
         .when(f["target_decode_error_at"].isNotNull(), "TargetDecodeError")
-        .when(f["sha256"] != f["target_sha256"], "UnicodeMismatch")
+        .when(~same, "UnicodeMismatch")
         .otherwise("None")
     )
 
 
-def _from_facts(f: Column, code: Column, content: Column, source: Column, target: str, want_bom: bool) -> Column:
-    body = F.length(content) - f["source_mark"]
+def _from_facts(
+    f: Column, code: Column, size: Column, source: Column, target: str, want_bom: bool, written: Column, output: Column,
+) -> Column:
+    """The result struct; ``size`` bytes were read, ``written`` is NULL where the output is incomplete."""
+    body = size - f["source_mark"]
     at = f["decode_error_at"]
     # a sequence cut off by the end of the data is noticed by the empty read after the last chunk
     chunk_start = F.when(f["cut_tail"], body).otherwise(F.floor(at / CONVERT_CHUNK_BYTES) * CONVERT_CHUNK_BYTES)
     read = F.when(
         at.isNotNull(), f["source_mark"] + F.least(body, chunk_start + CONVERT_CHUNK_BYTES)
-    ).otherwise(F.length(content))
+    ).otherwise(size)
     message = (
         F.when(code == "SourceReadError", "the content could not be read")
         .when(code == "Unexpected", F.format_string("no codec for %s", source))
@@ -199,13 +204,13 @@ def _from_facts(f: Column, code: Column, content: Column, source: Column, target
     return _struct(
         success=ok, error_code=code, error_message=message,
         source_bytes=read,
-        target_bytes=F.coalesce(F.length(f["output"]), f["partial_bytes"]),
+        target_bytes=F.coalesce(written, f["partial_bytes"]),
         scalars_verified=F.when(ok, f["scalars"]).when(
             code == "UnicodeMismatch", F.least(f["scalars"], f["target_scalars"])).otherwise(0),
         verification_passed=ok,
         bom_verified=code.isin("None", "UnicodeMismatch", "TargetDecodeError"),
         sha256=f["sha256"],
-        output=F.when(ok, f["output"]),
+        output=F.when(ok, output),
     )
 
 

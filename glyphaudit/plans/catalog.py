@@ -17,6 +17,7 @@ from ..functions.text import (
 )
 from ..operators import profile as prof
 from ..operators import report as rep
+from ..operators.chunks import convert_chunks, placed, utf8_states
 from ..operators.convert import convert, needs_conversion, transcode
 from ..operators.detect import (
     accepted_unicode, detect, is_binary, sample_of, utf16_candidates, utf32_candidates, whole_units,
@@ -606,6 +607,37 @@ def _to(label: str, **options) -> Callable:
     return query
 
 
+CHUNK = 1024
+
+
+def _chunks(df: DataFrame, size: int = CHUNK) -> DataFrame:
+    """Contents cut into rows (doc_id, no, content); an empty one is one empty chunk."""
+    last = F.floor((F.greatest(F.length("content"), F.lit(1)) - 1) / size).cast("int")
+    return df.withColumn("no", F.explode(F.sequence(F.lit(0), last))).withColumn("content", F.substring("content", _c("no") * size + 1, F.lit(size)))
+
+
+def _whole(pieces: DataFrame) -> DataFrame:
+    """The pieces of each document put together; documents are small."""
+    parts = F.sort_array(F.collect_list(F.struct("no", "part", "output")))
+    return pieces.groupBy("doc_id").agg(F.aggregate(parts, F.lit(b""), lambda a, p: F.concat(a, p["output"])).alias("output"))
+
+
+def _in_chunks(label: str) -> Callable:
+    def query(spark, sf):
+        pieces, outcomes = convert_chunks(placed(_chunks(fx.enc_truth(spark, sf)), "doc_id"), label, "doc_id")
+        c = F.col("conversion")
+        return _converted(outcomes.join(_whole(pieces), "doc_id", "left").withColumn("conversion", F.when(c.isNotNull(), c.withField("output", _c("output")))))
+
+    return query
+
+
+def txt1_whole_contents(spark, sf):
+    """UTF-8 validity of whole contents in chunks of seven bytes: every byte form, and documents cut inside a character."""
+    forms = utf8_states(_chunks(fx.enc(spark, sf)), "doc_id").select("doc_id", _c("accepted").alias("form_accepted"), _c("valid").alias("form_valid"))
+    cut = utf8_states(_chunks(_cut(spark, sf), 7), "doc_id").select("doc_id", _c("accepted").alias("cut_accepted"), _c("valid").alias("cut_whole"))
+    return forms.join(cut, "doc_id")
+
+
 def cnv1_convert_detected(spark, sf):
     df = convert(with_source(fx.enc(spark, sf)), "utf-8-bom")
     return df.select("doc_id", "target_encoding", "target_has_bom", "result", _sha(_c("conversion.output")).alias("sha256"))
@@ -746,6 +778,9 @@ cnv4_to_utf32be = _to("utf-32BE")
 cnv4_to_latin1 = _to("iso-8859-1")
 cnv4_to_windows1252 = _to("windows-1252")
 cnv4_to_ascii = _to("us-ascii")
+cnv4_chunks = _in_chunks("utf-8")
+cnv4_chunks_utf16le_bom = _in_chunks("utf-16-bom")
+cnv4_chunks_ascii = _in_chunks("us-ascii")
 
 QUERIES = (
     "src1_recursive_scan", "src1_binary_file", "src2_top_level", "src2_top_level_predicate", "src3_prefix_scan",
@@ -766,7 +801,7 @@ QUERIES = (
     "ver1_digest", "ver2_verify", "ver3_messages", "err1_codes", "err2_diagnostics", "err3_error_lines", "str1_incremental_report",
     "str2_running_counts", "udf1_detect_charset", "udf2_transcode", "udf3_is_valid_text", "cnv4_to_utf8", "cnv4_to_utf8_arrow",
     "cnv4_to_utf16le_bom", "cnv4_to_utf16be", "cnv4_to_utf32le_bom", "cnv4_to_utf32be", "cnv4_to_latin1", "cnv4_to_windows1252",
-    "cnv4_to_ascii",
+    "cnv4_to_ascii", "cnv4_chunks", "cnv4_chunks_utf16le_bom", "cnv4_chunks_ascii", "txt1_whole_contents",
 )
 
 

@@ -326,6 +326,11 @@ def oracle_sql() -> dict[str, str]:
     o["cnv4_to_latin1"] = _conversion("iso-8859-1", False, LATIN1, "length(text)")
     o["cnv4_to_windows1252"] = _conversion("windows-1252", False, LATIN1, "length(text)")
     o["cnv4_to_ascii"] = _conversion("us-ascii", False, LATIN1, "length(text)", NON_ASCII, "TargetEncodeError")
+    o["cnv4_chunks"], o["cnv4_chunks_utf16le_bom"], o["cnv4_chunks_ascii"] = o["cnv4_to_utf8"], o["cnv4_to_utf16le_bom"], o["cnv4_to_ascii"]
+    o["txt1_whole_contents"] = f"""with {ENC}, w as (select doc_id, hex(content) s from enc), cut as (select doc_id, substring(hex(encode(text)),1,2*octet_length(encode(
+ regexp_extract(text,'(?s)^(.*)[^\\x00-\\x7F]',1)))+2) h from documents)
+select w.doc_id, regexp_full_match(s,'{V8}{TAIL}') as form_accepted, regexp_full_match(s,'{V8}') as form_valid,
+regexp_full_match(h,'{V8}{TAIL}') as cut_accepted, regexp_full_match(h,'{V8}') as cut_whole from w join cut using (doc_id)"""
     o["cnv5_idempotent"] = f"""with {T} select doc_id, case when source_encoding='utf-8' and source_has_bom then 'Unchanged' else 'Converted' end as first,
  'Unchanged' as second, true as same_bytes, sha256(unhex('EFBBBF')||encode(text)) as sha256 from t where {KNOWN}"""
     o["cnv6_prior_rows"] = f"""with {ENC}, c as (select *, doc_id % 5 = 0 and doc_id % 13 < 2 as alias, doc_id % 5 = 1 and doc_id % 13 <= 10 as bogus from enc),

@@ -1,11 +1,12 @@
 """Every registered query against its SQL in DuckDB."""
 
+import os
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
 
-TABLES = ["documents", "pages", "conversations", "labels"]
 ORACLES = entry.oracle_sql()
 QUERIES = entry.queries()
 
@@ -13,8 +14,8 @@ QUERIES = entry.queries()
 @pytest.fixture(scope="module")
 def duck(sf):
     c = duckdb.connect()
-    for t in TABLES:
-        c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    for file in sorted(os.listdir(sf)):
+        c.execute(f"create view {file.removesuffix('.parquet')} as select * from '{sf}/{file}'")
     return c
 
 
