@@ -92,12 +92,15 @@ def test_validity_is_associative(spark, monkeypatch):
 
 
 def test_one_file_is_many_tasks(spark):
-    """Self-synchronising sources are not brought together by file for anything but the digest."""
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    """Self-synchronising sources are not brought together by file for anything but the digest. Contents too large to broadcast, that is."""
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         many_tasks(spark)
     finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        for name in settings:
+            spark.conf.unset(name)
 
 
 def many_tasks(spark):
