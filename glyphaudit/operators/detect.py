@@ -17,6 +17,7 @@ from ..functions.constants import (
     UTF16_NUL_HIGH, UTF16_NUL_LOW, UTF16_NUL_MIN, UTF32_MIN_BYTES,
 )
 from ..functions.text import bom_charset, is_ascii_text, looks_like_text, utf8_head
+from .code_pages import CodePageModel
 from .legacy import best_legacy, passes_text_test, rank_legacy
 
 
@@ -74,9 +75,13 @@ def accepted_unicode(heads: Column) -> Column:
 
 
 def detect(
-    df: DataFrame, content: str = "content", sample_bytes: int = SAMPLE_BYTES, legacy: bool = True
+    df: DataFrame, content: str = "content", sample_bytes: int = SAMPLE_BYTES,
+    legacy: bool | CodePageModel = True,
 ) -> DataFrame:
-    """Add ``charset`` (``(Unknown)`` when nothing fits) and ``has_bom`` for a binary column."""
+    """Add ``charset`` (``(Unknown)`` when nothing fits) and ``has_bom`` for a binary column.
+
+    ``legacy`` ranks code pages by the fixed letter lists (True), by a learned model, or not at all (False).
+    """
     if sample_bytes <= 0:
         raise ValueError("sample_bytes must be positive")
     staged = df.withColumn("_sample", sample_of(content, sample_bytes)).withColumns({
@@ -112,7 +117,8 @@ def detect(
     charset = F.col("_found")
     if legacy:
         rest = F.col("_found").isNull()
-        staged = staged.withColumn("_ranked", once(rank_legacy)(F.when(rest, F.col("_sample"))))
+        ranker = legacy.ranker() if isinstance(legacy, CodePageModel) else rank_legacy
+        staged = staged.withColumn("_ranked", once(ranker)(F.when(rest, F.col("_sample"))))
         staged = staged.withColumn("_best", best_legacy(F.col("_ranked")))
         charset = F.coalesce(charset, F.when(passes_text_test(F.col("_best")), F.col("_best.charset")))
         helper += ["_ranked", "_best"]

@@ -198,12 +198,12 @@ def passes_text_test(best: Column) -> Column:
     )
 
 
-def candidate_trials(df: DataFrame, sample: Column, keys: list[str]) -> DataFrame:
+def candidate_trials(df: DataFrame, sample: Column, keys: list[str], rank=rank_legacy) -> DataFrame:
     """Relation of samples and the legacy charsets they decode in: (keys, charset, priority, score, accepted).
 
-    Scores are computed where the sample lies and only then unfolded, so no sample is copied per candidate.
+    ``rank`` is the column function that scores: the letter lists, or ``code_pages.CodePageModel.ranker()``. Scores are computed where the sample lies and only then unfolded, so no sample is copied per candidate.
     """
-    ranked = df.select(*keys, rank_legacy(sample).alias("ranked"))
+    ranked = df.select(*keys, rank(sample).alias("ranked"))
     flat = ranked.select(*keys, F.explode("ranked").alias("r"))
     return flat.select(
         *keys, "r.charset", "r.priority", F.round("r.score", 6).alias("score"),

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.charsets import resolve
 from ..functions.constants import ERROR, FAILED, SAMPLE_BYTES
 from ..functions.labels import split_label
+from ..operators.code_pages import CodePageModel
 from ..operators.convert import convert
 from ..operators.detect import detect
 from ..operators.report import as_report
@@ -44,9 +45,11 @@ def check_options(
         raise ValueError("validate needs at least one accepted charset")
 
 
-def with_source(df: DataFrame, content: str = "content", sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+def with_source(
+    df: DataFrame, content: str = "content", sample_bytes: int = SAMPLE_BYTES, legacy: bool | CodePageModel = True,
+) -> DataFrame:
     """Detected encoding as the report's source columns."""
-    return detect(df, content, sample_bytes).withColumnsRenamed(
+    return detect(df, content, sample_bytes, legacy).withColumnsRenamed(
         {"charset": "source_encoding", "has_bom": "source_has_bom"}
     )
 
@@ -54,11 +57,12 @@ def with_source(df: DataFrame, content: str = "content", sample_bytes: int = SAM
 def audit(
     corpus: DataFrame, action: str = "detect", target: str | None = None,
     accepted: Iterable[str] | DataFrame | None = None, what_if: bool = False, content: str | None = None,
+    legacy: bool | CodePageModel = True,
 ) -> DataFrame:
     """Detect every row of ``corpus`` and apply the action; all columns are kept.
 
     The bytes are in ``content``, or in ``sample`` where only prefixes were read; samples are detected, validated and planned
-    for, never converted. A row with a ``read_error`` becomes an error row instead of failing the job.
+    for, never converted. ``legacy`` says how code pages are ranked (``operators.detect``). A row with a ``read_error`` becomes an error row instead of failing the job.
     """
     check_options(action, target=target, accepted=accepted)
     if content is None:
@@ -70,7 +74,7 @@ def audit(
     errors = "read_error" in corpus.columns
     if errors:
         readable = corpus.withColumn(content, F.when(F.col("read_error").isNull(), F.col(content)))
-    found = with_source(readable, content)
+    found = with_source(readable, content, legacy=legacy)
     if action == "validate":
         done = validate(found, accepted)
     elif action == "convert":

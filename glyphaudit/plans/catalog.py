@@ -18,6 +18,7 @@ from ..functions.text import (
 from ..operators import profile as prof
 from ..operators import report as rep
 from ..operators.chunks import convert_chunks, placed, utf8_states
+from ..operators.code_pages import CodePageModel, fit_code_pages
 from ..operators.convert import convert, needs_conversion, transcode
 from ..operators.detect import (
     accepted_unicode, detect, is_binary, sample_of, utf16_candidates, utf32_candidates, whole_units,
@@ -576,6 +577,23 @@ def leg1_pick(spark, sf):
     return pick_from_trials(trials, ["doc_id"]).select("doc_id", "charset", "priority")
 
 
+def _code_pages(spark, sf) -> CodePageModel:
+    return fit_code_pages(fx.labelled(spark, sf), fx.PAGES)
+
+
+def leg1_learned_pages(spark, sf):
+    """Every document planted in one of eleven code pages and what the cascade with a learned model takes it for."""
+    found = detect(fx.planted(spark, sf), legacy=_code_pages(spark, sf))
+    return found.select("doc_id", "charset", "has_bom")
+
+
+def join8_learned_trials(spark, sf):
+    """The planted documents and every single-byte page they decode in; the scores are our own and stay out of the comparison."""
+    planted = fx.planted(spark, sf).filter(~_c("content").isNull()).filter(F.col("text").rlike(r"[^\x00-\x7F]"))
+    trials = candidate_trials(planted, _sample(), ["doc_id"], _code_pages(spark, sf).ranker())
+    return trials.filter(~_c("charset").isin("shift_jis", "euc-jp", "euc-kr")).select("doc_id", "charset", "priority")
+
+
 # --- validation and conversion -------------------------------------------------------------------
 
 def val1_validate(spark, sf):
@@ -796,7 +814,7 @@ QUERIES = (
     "agg12_byte_totals", "agg13_not_correct", "sort1_report_order", "sort2_by_label", "sort2_by_label_descending", "sort3_caps",
     "set1_good_and_failed", "lbl1_parse_label", "lbl2_format_label", "lbl3_round_trip", "lbl4_yes_no", "lbl5_supported_labels",
     "det1_binary_gate", "det2_bom", "det3_utf32", "det4_utf16", "det5_ascii", "det6_utf8", "det7_cascade", "det7_label_counts",
-    "det7_pages", "txt1_strict_utf8", "txt2_looks_like_text", "txt3_valid_text", "leg1_pick", "val1_validate", "val2_detect",
+    "det7_pages", "txt1_strict_utf8", "txt2_looks_like_text", "txt3_valid_text", "leg1_pick", "leg1_learned_pages", "join8_learned_trials", "val1_validate", "val2_detect",
     "val2_detect_bytes", "cnv1_convert_detected", "cnv2_dry_run", "cnv3_bom_feasibility", "cnv5_idempotent", "cnv6_prior_rows",
     "ver1_digest", "ver2_verify", "ver3_messages", "err1_codes", "err2_diagnostics", "err3_error_lines", "str1_incremental_report",
     "str2_running_counts", "udf1_detect_charset", "udf2_transcode", "udf3_is_valid_text", "cnv4_to_utf8", "cnv4_to_utf8_arrow",

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.arrow import transcode_facts
 from .session import tune
 
 ENC_SPARK = """case doc_id % 13
@@ -43,6 +44,49 @@ REPORT = f"""select doc_id, {PATHS} as path, {TRUTH_ENCODING} as source_encoding
   then 'SourceDecodeError: document ' || cast(doc_id as varchar(20)) end as diagnostic
 from documents"""
 
+# Letters that stand for a to z, so that the documents become texts of other scripts. Fixed values of the test data.
+ALPHABETS = {
+    "central": "ábčďěfghíjkľmňópqřšťůvwxýž", "cyrillic": "абцдефгхийклмнопщрстувшжыз", "greek": "αβψδεφγηιξκλμνοπθρστυωςχζύ",
+    "kana": "あいうえおかきくけこさしすせそたちつてとなにぬねのは", "hangul": "가나다라마바사아자차카타파하고노도로모보소오조코토포",
+    "thai": "กขคงจชซญดตถทธนบปผพฟภมยรลวส",
+}
+# The page each document is planted in, by doc_id % 11, and its script.
+PLANTED = [
+    ("windows-1252", "western"), ("windows-1250", "central"), ("windows-1251", "cyrillic"), ("koi8-r", "cyrillic"),
+    ("cp866", "cyrillic"), ("iso-8859-5", "cyrillic"), ("windows-1253", "greek"), ("windows-874", "thai"),
+    ("shift_jis", "kana"), ("euc-jp", "kana"), ("euc-kr", "hangul"),
+]
+PAGES = [page for page, _ in PLANTED]
+# What stays of a Western text; everything else becomes a question mark, as it does in every script.
+KEPT = {"western": "\u00a0-\u00ff"} | ALPHABETS
+PLANTED_PAGE = "case doc_id % 11 " + " ".join(f"when {i} then '{page}'" for i, page in enumerate(PAGES)) + " end"
+
+
+def scripted(script: str) -> str:
+    """SQL for the text in a script; the same in both engines but for the flag of a global replacement."""
+    text = "text" if script == "western" else f"translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', '{ALPHABETS[script]}')"
+    return f"regexp_replace({text}, '[^\u0001-\u007f{KEPT[script]}]', '?'FLAG)"
+
+
+PLANTED_TEXT = "case doc_id % 11 " + " ".join(f"when {i} then {scripted(s)}" for i, (_, s) in enumerate(PLANTED)) + " end"
+
+
+def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, script, planted text, content): each document in one of eleven code pages."""
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text", "lang"])
+    script = "case doc_id % 11 " + " ".join(f"when {i} then '{s}'" for i, (_, s) in enumerate(PLANTED)) + " end"
+    texts = docs.selectExpr(
+        "doc_id", f"lang || '-' || {script} as language", f"{PLANTED_PAGE} as page", f"{PLANTED_TEXT.replace('FLAG', '')} as text")
+    coded = transcode_facts(F.encode("text", "UTF-8"), F.lit("utf-8"), F.col("page"), F.lit(False))
+    return texts.withColumn("content", coded["output"])
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(text, language) of the documents a model may learn from: every script of those whose crc32(doc_id) mod 5 is not 0."""
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text", "lang"]).where("crc32(cast(doc_id as string)) % 5 <> 0")
+    scripts = ", ".join(f"struct('{s}' as script, {scripted(s).replace('FLAG', '')} as text)" for s in KEPT)
+    return docs.selectExpr("lang", f"explode(array({scripts})) as s").selectExpr("s.text as text", "lang || '-' || s.script as language")
+
 
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows out when a table has fewer splits than there are task slots; large tables stay as they are."""

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .fixtures import PATHS, REPORT, TRUTH_BOM, TRUTH_ENCODING
+from ..functions.charsets import CODEC_OF
+from .fixtures import ALPHABETS, PAGES, PATHS, PLANTED, PLANTED_PAGE, PLANTED_TEXT, REPORT, TRUTH_BOM, TRUTH_ENCODING
 
 U16LE = "array_to_string(list_transform(string_split(text,''), lambda ch: printf('%02X%02X', unicode(ch)%256, (unicode(ch)//256)%256)),'')"
 U16BE = "array_to_string(list_transform(string_split(text,''), lambda ch: printf('%02X%02X', (unicode(ch)//256)%256, unicode(ch)%256)),'')"
@@ -49,6 +50,32 @@ PAIR = "D[89AB][0-9A-F]{2}D[C-F][0-9A-F]{2}"
 V16 = f"(?:{U16}|{PAIR})*(?:D[89AB][0-9A-F]{{2}})?"
 
 
+SCRIPTED = f"scripted as (select doc_id, {PLANTED_PAGE} as page, {PLANTED_TEXT.replace('FLAG', ', chr(103)')} as text from documents)"
+
+
+def _defined(byte: int, page: str) -> bool:
+    """Whether a byte stands for something in a single-byte page; in windows-125x the gaps of 80-9F do."""
+    try:
+        return bool(bytes([byte]).decode(CODEC_OF[page]))
+    except UnicodeDecodeError:
+        return page.startswith("windows-125") and byte < 0xA0
+
+
+def _trials() -> str:
+    """Planted texts as hexadecimal bytes against the bytes every single-byte page leaves undefined."""
+    forms, tests = [], []
+    for i, (page, script) in enumerate(PLANTED):
+        letters = ALPHABETS.get(script) or "".join(map(chr, range(0xA0, 0x100)))
+        codes = ", ".join(f"'{c}': '{c.encode(CODEC_OF[page]).hex().upper()}'" for c in letters if ord(c) >= 0x80)
+        forms.append(f"when {i} then array_to_string(list_transform(string_split(text,''), lambda ch: "
+                     f"case when unicode(ch) < 128 then printf('%02X', unicode(ch)) else map {{{codes}}}[ch] end),'')")
+        if page not in ("shift_jis", "euc-jp", "euc-kr"):
+            gaps = "|".join(f"{b:02X}" for b in range(256) if not _defined(b, page)) or "GG"
+            tests.append(f"select doc_id, '{page}' as charset, {PAGES.index(page)} as priority from coded where not regexp_full_match(h, '(..)*?({gaps})(..)*')")
+    return (f", coded as (select doc_id, substring(case doc_id % 11 {' '.join(forms)} end, 1, 131072) h from scripted "
+            "where regexp_matches(text,'[^\\x00-\\x7F]')) " + " union all ".join(tests))
+
+
 def _units_ok(h: str, unit: int) -> str:
     """Text test over big-endian hex of valid UTF-16/32."""
     if unit == 4:
@@ -292,6 +319,10 @@ def oracle_sql() -> dict[str, str]:
                               "count(*) as documents from found group by 1")
     o["leg1_pick"] = (f"with found as ({cascade.replace('CHARSET', 'charset')}) select doc_id, 'windows-1252' as charset, 0 as priority from found "
                       "where doc_id % 13 = 10 and charset = '(Unknown)'")
+    # a document without a letter beyond ASCII is ASCII in every page
+    o["leg1_learned_pages"] = (f"with {SCRIPTED} select doc_id, case when regexp_matches(text,'[^\\x00-\\x7F]') then page "
+                               "when text = '' then '(Unknown)' else 'us-ascii' end as charset, false as has_bom from scripted")
+    o["join8_learned_trials"] = f"with {SCRIPTED} {_trials()}"
     o["det7_pages"] = (f"with smp as (select page_id, substring(hex(encode(html)),1,131072) s from pages) select page_id, case when s='' then "
                        f"'(Unknown)' when {ASCII} then 'us-ascii' when {UTF8_TEXT} then 'utf-8' else '(Unknown)' end as charset, false as has_bom from smp")
     o["txt1_strict_utf8"] = f"""with {SMP}, cut as (select doc_id, substring(hex(encode(text)),1,2*octet_length(encode(
