@@ -36,19 +36,23 @@ COUNTS = "page string, language string, pair int, n long, texts long"
 _COUNTS_ARROW = pa.schema([("page", pa.string()), ("language", pa.string()), ("pair", pa.int32()), ("n", pa.int64()), ("texts", pa.int64())])
 
 
-def training_texts(labelled: DataFrame, rows: int = ROWS) -> DataFrame:
-    """(text, language): per language the first ``rows`` texts in hash order among those with a non-ASCII character.
+def training_texts(labelled: DataFrame, rows: int = ROWS, beyond_ascii: bool = True) -> DataFrame:
+    """(text, language): per language the first ``rows`` texts in hash order, by default among those with a non-ASCII character.
 
-    Repeated texts count once. NULL texts and languages teach nothing. The rank is taken in two steps, first within salts, so
-    that one language holding most rows is not one task.
+    Repeated texts count once. NULL texts and languages teach nothing. Only hashes are shuffled; their rank is taken in two
+    steps, first within salts, so that one language holding most rows is not one task. Texts are fetched by the chosen hashes.
     """
-    useful = labelled.where("text is not null and language is not null").where(F.col("text").rlike(r"[^\x00-\x7F]"))
-    hashed = useful.select("text", "language", F.xxhash64("text").alias("_h")).withColumn("_salt", F.pmod("_h", F.lit(SALTS)))
+    useful = labelled.where("text is not null and language is not null").select("text", "language")
+    if beyond_ascii:
+        useful = useful.where(F.col("text").rlike(r"[^\x00-\x7F]"))
+    useful = useful.withColumn("_h", F.xxhash64("text"))
+    chosen = useful.select("language", "_h").distinct().withColumn("_salt", F.pmod("_h", F.lit(SALTS)))
     for keys in (["language", "_salt"], ["language"]):
-        # equal texts share a rank and stay together until one of them is taken
-        ranked = hashed.withColumn("_r", F.dense_rank().over(Window.partitionBy(*keys).orderBy("_h", "text")))
-        hashed = ranked.where(F.col("_r") <= rows).drop("_r").dropDuplicates(["language", "_salt", "_h", "text"])
-    return hashed.select("text", "language")
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_h"))
+        chosen = chosen.withColumn("_r", rank).where(F.col("_r") <= rows).drop("_r")
+    # at most ``rows`` hashes a language
+    kept = useful.join(F.broadcast(chosen.drop("_salt")), ["language", "_h"])
+    return kept.dropDuplicates(["language", "_h"]).select("text", "language")
 
 
 def _pairs(data: np.ndarray) -> np.ndarray:

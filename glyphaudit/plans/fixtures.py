@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.arrow import transcode_facts
+from ..operators.code_pages import training_texts
 from .session import tune
 
 ENC_SPARK = """case doc_id % 13
@@ -82,10 +83,14 @@ def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(text, language) of the documents a model may learn from: every script of those whose crc32(doc_id) mod 5 is not 0."""
+    """(text, language) a model may learn from: a sample of the documents whose crc32(doc_id) mod 5 is not 0, in every script.
+
+    The sample is drawn before the texts are rewritten, so the rewriting does not grow with the table.
+    """
     docs = table(spark, sf_dir, "documents", ["doc_id", "text", "lang"]).where("crc32(cast(doc_id as string)) % 5 <> 0")
+    some = training_texts(docs.select("text", F.col("lang").alias("language")), beyond_ascii=False)
     scripts = ", ".join(f"struct('{s}' as script, {scripted(s).replace('FLAG', '')} as text)" for s in KEPT)
-    return docs.selectExpr("lang", f"explode(array({scripts})) as s").selectExpr("s.text as text", "lang || '-' || s.script as language")
+    return some.selectExpr("language", f"explode(array({scripts})) as s").selectExpr("s.text as text", "language || '-' || s.script as language")
 
 
 def spread(df: DataFrame) -> DataFrame:
