@@ -14,11 +14,11 @@ REPORT_COLUMNS = [
 ]
 
 
-def as_report(df: DataFrame) -> DataFrame:
-    """The report schema, whatever else the rows carry."""
+def as_report(df: DataFrame, *also: str) -> DataFrame:
+    """The report schema, whatever else the rows carry; ``also`` names columns to keep behind it."""
     if "diagnostic" not in df.columns:
         df = df.withColumn("diagnostic", F.lit(None).cast("string"))
-    return df.select(*REPORT_COLUMNS)
+    return df.select(*REPORT_COLUMNS, *also)
 
 
 def union_reports(good: DataFrame, failed: DataFrame) -> DataFrame:

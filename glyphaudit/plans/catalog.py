@@ -39,6 +39,7 @@ from ..sources.tree import (
     scan_prefixes,
 )
 from ..streaming.incremental import deliver_report, running_counts, watch_tree
+from ..streaming.ledger import count_changes, current_counts, deliver_changes, poll_tree, watch_ledger
 from . import fixtures as fx
 from .audit import audit, check_options, convert_corpus, mark_failed, with_source
 
@@ -770,6 +771,35 @@ def str2_running_counts(spark, sf):
     return spark.table(name)
 
 
+def _changing_tree(spark, sf, ledger: str, deliver: Callable) -> None:
+    """A tree with empty and hidden files, delivered; then every fourth file rewritten as marked UTF-16, delivered again by a restarted query."""
+    base = shared_folder(spark, "tree")
+    rel = "concat('d', doc_id % 10, '/', case doc_id % 5 when 2 then '_' when 4 then '.' else '' end, doc_id, '.txt') as rel"
+    first = fx.enc(spark, sf, rel)
+    docs = fx.table(spark, sf, "documents", ["doc_id", "text"]).where("doc_id % 4 = 1")
+    second = docs.selectExpr("concat(x'FFFE', encode(text, 'UTF-16LE')) as content", rel)
+    for files in (first, second):
+        write_tree(files, base).write.format("noop").mode("overwrite").save()
+        poll_tree(spark, base, ledger)
+        deliver(watch_ledger(spark, ledger)).awaitTermination()
+
+
+def str1_changed_files(spark, sf):
+    """A report row for each version of each file: all of the first poll, the rewritten ones again after the second."""
+    out, state = shared_folder(spark, "stream"), shared_folder(spark, "state")
+    _changing_tree(spark, sf, shared_folder(spark, "ledger"), lambda changes: deliver_changes(changes, out, state))
+    doc = F.regexp_extract("path", r"/[_.]?(\d+)\.txt$", 1).cast("bigint")
+    return spark.read.parquet(out).select(doc.alias("doc_id"), "version", "source_has_bom", "result")
+
+
+def str2_counts_after_rewrites(spark, sf):
+    """Counts by result, the old results of rewritten files taken off."""
+    out, state = shared_folder(spark, "counts"), shared_folder(spark, "state")
+    _changing_tree(spark, sf, shared_folder(spark, "ledger"), lambda changes: count_changes(
+        changes, out, state, action="validate", accepted=ALLOWED))
+    return current_counts(spark, out)
+
+
 def _sql(statement: str) -> Callable:
     def query(spark, sf):
         register_functions(spark)
@@ -817,7 +847,7 @@ QUERIES = (
     "det7_pages", "txt1_strict_utf8", "txt2_looks_like_text", "txt3_valid_text", "leg1_pick", "leg1_learned_pages", "join8_learned_trials", "val1_validate", "val2_detect",
     "val2_detect_bytes", "cnv1_convert_detected", "cnv2_dry_run", "cnv3_bom_feasibility", "cnv5_idempotent", "cnv6_prior_rows",
     "ver1_digest", "ver2_verify", "ver3_messages", "err1_codes", "err2_diagnostics", "err3_error_lines", "str1_incremental_report",
-    "str2_running_counts", "udf1_detect_charset", "udf2_transcode", "udf3_is_valid_text", "cnv4_to_utf8", "cnv4_to_utf8_arrow",
+    "str1_changed_files", "str2_running_counts", "str2_counts_after_rewrites", "udf1_detect_charset", "udf2_transcode", "udf3_is_valid_text", "cnv4_to_utf8", "cnv4_to_utf8_arrow",
     "cnv4_to_utf16le_bom", "cnv4_to_utf16be", "cnv4_to_utf32le_bom", "cnv4_to_utf32be", "cnv4_to_latin1", "cnv4_to_windows1252",
     "cnv4_to_ascii", "cnv4_chunks", "cnv4_chunks_utf16le_bom", "cnv4_chunks_ascii", "txt1_whole_contents",
 )

@@ -394,6 +394,11 @@ regexp_full_match(h,'{V8}{TAIL}') as cut_accepted, regexp_full_match(h,'{V8}') a
     o["str1_incremental_report"] = f"select doc_id, case when {DETECTED_SKIP} then 'Skipped' else 'Unchanged' end as result from documents where doc_id % 13 <> 12"
     o["str2_running_counts"] = f"""select case when (doc_id % 13 = 0 and {NON_ASCII}) or doc_id % 13 in (1,5,6) then 'Unchanged' else 'Invalid' end as result,
  count(*) as n from documents where doc_id % 13 <> 12 group by 1"""
+    o["str1_changed_files"] = f"""select doc_id, 1 as version, doc_id % 13 in (1,3,5,7,9) as source_has_bom,
+ case when {DETECTED_SKIP} then 'Skipped' else 'Unchanged' end as result from documents
+ union all select doc_id, 2, true, 'Unchanged' from documents where doc_id % 4 = 1"""
+    o["str2_counts_after_rewrites"] = f"""select case when doc_id % 4 <> 1 and ((doc_id % 13 = 0 and {NON_ASCII}) or doc_id % 13 in (1,5,6))
+ then 'Unchanged' else 'Invalid' end as result, count(*) as n from documents group by 1"""
     o["udf2_transcode"] = f"""with {ENC}, h as (select *, hex(content) hx from enc)
  select doc_id, case when {decoded} then 'None' else 'SourceDecodeError' end as error_code,
  case when {only7} then sha256(unhex('FFFE'||regexp_replace(case when hx like 'EFBBBF%' then substring(hx,7) else hx end,'(..)','\\100','g')))

@@ -159,11 +159,12 @@ def listed_files(
     return listing.filter(keep).select("path", "rel", "length", "modificationTime")
 
 
-def _reader(max_bytes: int | None, column: str):
+def _reader(max_bytes: int | None, column: str, carried: tuple[str, ...] = ()):
     def read_many(files: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([
             ("path", pa.string()), ("rel", pa.string()), ("length", pa.int64()),
             ("modificationTime", pa.timestamp("us", tz="UTC")), (column, pa.binary()), ("read_error", pa.string()),
+            *((name, pa.int64()) for name in carried),
         ])
         pending, held, known = [], 0, {}
         for batch in files:
@@ -210,9 +211,10 @@ def read_files(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     return spread.mapInArrow(_reader(max_bytes, column), READ.format(column))
 
 
-def read_samples(files: DataFrame, sample_bytes: int) -> DataFrame:
-    """Samples of (path, rel, length, modificationTime) rows where they are; also for streams."""
-    return files.select("path", "rel", "length", "modificationTime").mapInArrow(_reader(sample_bytes, "sample"), READ.format("sample"))
+def read_samples(files: DataFrame, sample_bytes: int, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Samples of (path, rel, length, modificationTime) rows where they are; also for streams. ``carried`` names bigint columns to keep."""
+    schema = READ.format("sample") + "".join(f", {name} bigint" for name in carried)
+    return files.select("path", "rel", "length", "modificationTime", *carried).mapInArrow(_reader(sample_bytes, "sample", carried), schema)
 
 
 def _slices(files: DataFrame, max_bytes: int | None) -> int:
