@@ -11,6 +11,7 @@ bound in the optimizer. The marked form stays one column.
 from __future__ import annotations
 
 import codecs
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -37,6 +38,15 @@ def once(f):
     return arrow_udf(f.func, f.returnType).asNondeterministic()
 
 
+def give_back() -> None:
+    """What a worker has freed goes back to the system: workers live on beside the JVM, one for each helper of a task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only glibc has it
+        pass
+
+
 def _rows(column: pa.Array) -> Iterator[np.ndarray | None]:
     """Zero-copy byte view of each value."""
     for value in column:
@@ -255,7 +265,7 @@ def _is_unfinished(body: bytes, source: str) -> bool:
 @arrow_udf(TRANSCODED)
 def transcode_facts(content: pa.Array, source: pa.Array, target: pa.Array, want_bom: pa.Array) -> pa.Array:
     rows = zip(_rows(content), source.to_pylist(), target.to_pylist(), want_bom.to_pylist())
-    return pa.array(
+    out = pa.array(
         [
             None if v is None or s not in CODEC_OF or t not in CODEC_OF
             else _transcode(v.tobytes(), s, t, bool(b))
@@ -263,3 +273,5 @@ def transcode_facts(content: pa.Array, source: pa.Array, target: pa.Array, want_
         ],
         type=_TRANSCODED_ARROW,
     )
+    give_back()
+    return out

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ..functions.arrow import _decode, _rows
+from ..functions.arrow import _decode, _rows, give_back
 from ..functions.charsets import CODEC_OF, resolve
 from ..functions.constants import SAMPLE_BYTES, TEXT_SCALARS
 from .legacy import _RANKED_ARROW, CANDIDATES, RANKED
@@ -78,18 +78,21 @@ def count_pairs(labelled: DataFrame, pages: list[str] | None = None, rows: int =
             for language, texts in by_language.items():
                 out = [(None, language, -1, 0, len(texts))]
                 for page in names:
-                    kept = []
+                    held, n = 0, np.zeros(65536, np.int64)
                     for text in texts:
                         try:
-                            kept.append(_pairs(np.frombuffer(text.encode(CODEC_OF[page])[:SAMPLE_BYTES], np.uint8)))
+                            data = np.frombuffer(text.encode(CODEC_OF[page])[:SAMPLE_BYTES], np.uint8)
                         except UnicodeEncodeError:
                             continue
-                    if kept:
-                        out.append((page, language, -1, 0, len(kept)))
-                        pairs, n = np.unique(np.concatenate(kept), return_counts=True)
-                        out += [(page, language, p, c, 0) for p, c in zip(pairs.tolist(), n.tolist())]
+                        held += 1
+                        n += np.bincount(_pairs(data), minlength=65536)
+                    if held:
+                        out.append((page, language, -1, 0, held))
+                        pairs = np.flatnonzero(n)
+                        out += [(page, language, p, c, 0) for p, c in zip(pairs.tolist(), n[pairs].tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, type=f.type) for c, f in zip(zip(*out), _COUNTS_ARROW)], schema=_COUNTS_ARROW)
+        give_back()
 
     counted = training_texts(labelled, rows).mapInArrow(count, COUNTS)
     return counted.groupBy("page", "language", "pair").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
@@ -142,6 +145,7 @@ class CodePageModel:
         def rank_code_pages(samples: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for batch in samples:
                 yield pa.array([None if v is None else model.rank(v) for v in _rows(batch)], type=_RANKED_ARROW)
+                give_back()
 
         return rank_code_pages
 
