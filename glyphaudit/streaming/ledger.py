@@ -15,12 +15,8 @@ delivery are Spark's own, and no list of paths ever comes to the driver.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.constants import SAMPLE_BYTES
 from ..operators.report import as_report
@@ -30,9 +26,7 @@ from ..sources.tree import SLICE_FILES, list_tree, listed_files, listing_warning
 CHANGE = "path string, rel string, length bigint, modificationTime timestamp, version bigint, event string"
 ADDED, CHANGED, REMOVED = "added", "changed", "removed"
 DELTA = "result string, n bigint"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_IN_MEMORY = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
-_ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+RESULT = "path string, version bigint, result string"
 
 
 def newest(rows: DataFrame) -> DataFrame:
@@ -93,52 +87,44 @@ def deliver_changes(changes: DataFrame, path: str, checkpoint: str, **options) -
     )
 
 
-def _retract(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Take a path's counted result off and count its newest one. Rows older than the counted one change nothing."""
-    version, counted = state.get if state.exists else (0, None)
-    newer, result = version, None
-    for part in rows:
-        for v, r in zip(part["version"].tolist(), part["result"].tolist()):
-            if v > newer:
-                newer, result = v, r
-    if newer == version:
-        return
-    state.update((newer, result))
-    if result != counted:
-        deltas = [(r, n) for r, n in ((counted, -1), (result, 1)) if r is not None]
-        yield pd.DataFrame({"result": [r for r, _ in deltas], "n": [n for _, n in deltas]})
+def retractions(now: DataFrame, before: DataFrame) -> DataFrame:
+    """(result, n): what the rows of one batch add to the counts and, by the newest earlier row of their paths, take off them.
+
+    Both are (path, version, result), the result NULL for a removed file. Rows older than the counted one change nothing.
+    """
+    now = newest(now)
+    was = newest(before.join(now.select("path"), "path", "left_semi"))
+    moved = now.join(was.select("path", F.struct("version", "result").alias("_was")), "path", "left")
+    moved = moved.where("_was is null or _was.version < version")
+    steps = F.array(
+        F.struct(F.col("_was.result").alias("result"), F.lit(-1).alias("n")), F.struct(F.col("result"), F.lit(1).alias("n")))
+    return moved.select(F.explode(steps).alias("_s")).select("_s.*").where("result is not null").groupBy("result").agg(F.sum("n").alias("n"))
 
 
 def count_changes(changes: DataFrame, path: str, checkpoint: str, **options) -> StreamingQuery:
     """Keep counts by result that follow rewritten and removed files; ``current_counts`` reads them.
 
-    A batch adds at most one row a result, under its own number, so a repeated batch replaces its rows. The state is one small
-    row a path, kept in RocksDB unless the session chose another store than the one in memory.
+    A batch stores its results, then the difference they make: at most one row a result. Both lie under the batch's number and see
+    earlier numbers only, so a batch repeated after a failure replaces its own rows. Earlier results are joined on the path, a small
+    row for each version; nothing is held in the memory of executors between batches.
     """
-    spark = changes.sparkSession
-    spark.createDataFrame([], DELTA).write.mode("ignore").parquet(f"{path}/batch=-1")
+    changes.sparkSession.createDataFrame([], DELTA).write.mode("ignore").parquet(f"{path}/deltas/batch=-1")
     counted = audit(samples_of_changes(changes), **options).select("path", "version", "result")
     gone = changes.where(F.col("event") == REMOVED).select("path", "version", F.lit(None).cast("string").alias("result"))
-    deltas = counted.unionByName(gone).groupBy("path").applyInPandasWithState(
-        _retract, DELTA, "version bigint, result string", "append", GroupStateTimeout.NoTimeout)
 
     def add(batch: DataFrame, number: int) -> None:
-        batch.groupBy("result").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{path}/results/batch={number}")
+        results = batch.sparkSession.read.schema(f"{RESULT}, batch bigint").parquet(f"{path}/results")
+        now, before = (results.where(rows).drop("batch") for rows in (F.col("batch") == number, F.col("batch") < number))
+        retractions(now, before).write.mode("overwrite").parquet(f"{path}/deltas/batch={number}")
 
-    store = spark.conf.get(_PROVIDER)
-    if store == _IN_MEMORY:
-        spark.conf.set(_PROVIDER, _ON_DISK)
-    try:
-        # the query works on a copy of the session's settings, made as it starts
-        return (
-            deltas.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
-            .outputMode("append").trigger(availableNow=True).start()
-        )
-    finally:
-        spark.conf.set(_PROVIDER, store)
+    return (
+        counted.unionByName(gone).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+        .outputMode("append").trigger(availableNow=True).start()
+    )
 
 
 def current_counts(spark: SparkSession, path: str) -> DataFrame:
     """(result, n) of the files as they were last delivered; results without files are left out."""
-    deltas = spark.read.schema(DELTA).parquet(path)
+    deltas = spark.read.schema(DELTA).parquet(f"{path}/deltas")
     return deltas.groupBy("result").agg(F.sum("n").alias("n")).where("n <> 0")

@@ -4,13 +4,12 @@ import os
 import time
 from datetime import datetime
 
-import pandas as pd
 import pytest
 
 from glyphaudit.plans.audit import audit_report
 from glyphaudit.sources.tree import scan_prefixes
 from glyphaudit.streaming.ledger import (
-    CHANGE, _retract, changes_between, count_changes, current_counts, deliver_changes, newest, poll_tree, watch_ledger,
+    CHANGE, RESULT, changes_between, count_changes, current_counts, deliver_changes, newest, poll_tree, retractions, watch_ledger,
 )
 
 
@@ -105,7 +104,6 @@ def counts(spark, out):
 
 def test_counts_follow_rewritten_and_removed_files_over_restarts(spark, place):
     base, ledger, out, state = place
-    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
 
     def run():
         poll_tree(spark, str(base), ledger)
@@ -127,32 +125,30 @@ def test_counts_follow_rewritten_and_removed_files_over_restarts(spark, place):
         os.remove(base / rel)
     run()
     assert counts(spark, out) == {}
-    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == provider
 
 
-class State:
-    """The calls of a group state the function makes."""
+@pytest.mark.parametrize("before,now,expected", [
+    ([], [("p", 1, "Invalid"), ("q", 1, None)], {"Invalid": 1}),
+    ([("p", 1, "Invalid")], [("p", 2, "Unchanged")], {"Invalid": -1, "Unchanged": 1}),
+    ([("p", 1, "Invalid")], [("p", 2, "Invalid")], {"Invalid": 0}),
+    ([("p", 1, "Invalid"), ("p", 2, "Error"), ("r", 1, "Error")], [("p", 4, None), ("p", 3, "Unchanged")], {"Error": -1}),
+    ([("p", 3, "Invalid")], [("p", 2, "Unchanged"), ("p", 3, "Invalid")], {}),
+    ([("p", 2, None)], [("p", 3, "Unchanged")], {"Unchanged": 1}),
+    ([("p", 1, "Error")], [], {}),
+])
+def test_old_results_are_taken_off(spark, before, now, expected):
+    given = (spark.createDataFrame(rows, RESULT) for rows in (now, before))
+    assert {r.result: r.n for r in retractions(*given).collect()} == expected
 
-    def __init__(self):
-        self.exists, self.get = False, None
 
-    def update(self, value):
-        self.exists, self.get = True, value
-
-
-def test_any_order_and_cutting_of_versions_ends_in_the_newest_result():
-    import itertools
-
-    versions = [(1, "Unchanged"), (2, "Invalid"), (3, None), (4, "Invalid")]
-    for order in itertools.permutations(versions):
-        for cut in range(5):
-            state, total = State(), {}
-            for part in (order[:cut], order[cut:], order):
-                frames = [pd.DataFrame({"version": [v], "result": [r]}) for v, r in part]
-                for delta in _retract(("p",), iter(frames), state):
-                    for result, n in zip(delta["result"], delta["n"]):
-                        total[result] = total.get(result, 0) + n
-            assert {r: n for r, n in total.items() if n} == {"Invalid": 1}
+def test_repeated_batch_replaces_its_own_rows(spark, place):
+    base, ledger, out, state = place
+    put(base, FIRST)
+    poll_tree(spark, str(base), ledger)
+    for checkpoint in (state, state + "-lost"):
+        # with its checkpoint lost, the query gives the same batch number once more
+        count_changes(watch_ledger(spark, ledger), out, checkpoint, action="validate", accepted=["us-ascii"]).awaitTermination()
+        assert counts(spark, out) == {"Unchanged": 2, "Invalid": 3}
 
 
 def test_plan_of_changes_moves_no_contents(spark, place):
