@@ -111,3 +111,34 @@ def test_relational_profile_equals_arrow_profile(buffers):
     arrow = prof.unfold_histogram(prof.with_byte_histogram(df, sample), ["id"]).select("id", "byte", F.col("n").cast("bigint"))
     relational = prof.relational_histogram(df, sample, ["id"])
     assert arrow.exceptAll(relational).isEmpty() and relational.exceptAll(arrow).isEmpty()
+
+
+def test_one_worker_decodes_in_all_charsets(spark, sf):
+    """Each call of its own is a Python worker more for every task, with a batch and its results in memory."""
+    from glyphaudit.plans import catalog
+
+    plan = catalog.txt3_valid_text(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("strict_heads(") == 1
+
+
+def test_small_batches_for_chained_helpers():
+    from glyphaudit.plans.session import CHAINED, tune
+
+    class Conf(dict):
+        set = dict.__setitem__
+
+    class Session:
+        conf = Conf()
+
+    tune(Session, **CHAINED)
+    tune(Session)
+    assert int(Session.conf["spark.sql.execution.arrow.maxBytesPerBatch"]) == 8 << 20
+
+
+def test_counts_of_null_and_empty_samples(spark):
+    from glyphaudit.functions.arrow import byte_histogram, lane_histogram
+
+    df = spark.createDataFrame([(1, None), (2, bytearray()), (3, bytearray(b"aab"))], "id int, content binary").coalesce(1)
+    rows = {r.id: r for r in df.select("id", byte_histogram("content").alias("h"), lane_histogram("content").alias("l")).collect()}
+    assert rows[1].h is None and rows[1].l is None and sum(rows[2].h) == 0 and len(rows[2].l) == 1024
+    assert rows[3].h[97] == 2 and rows[3].h[98] == 1 and [rows[3].l[97], rows[3].l[256 + 97], rows[3].l[512 + 98]] == [1, 1, 1]
