@@ -126,7 +126,7 @@ def ranked(digits: int) -> str:
         f"select doc_id, {p} as priority, '{page}' as page, t, pos from (select doc_id, unnest(l) as t, unnest(range(len(l))) as pos from "
         f"(select doc_id, regexp_extract_all(s, '{form}') as l from rest)) where not regexp_full_match(t, '{rest}')" for p, page, form, rest in _forms())
     return f"""{_tables()},
- bytes as (select doc_id, unnest(l) as t, unnest(range(len(l))) as pos from (select doc_id, regexp_extract_all(s,'..') as l from rest)),
+ bytes as materialized (select doc_id, unnest(l) as t, unnest(range(len(l))) as pos from (select doc_id, regexp_extract_all(s,'..') as l from rest)),
  about as (select doc_id, count(*) as n, count(*) filter (where high) as high, count(*) filter (where high and before) as pairs, count(*) filter (where pos < 500 and control) as controls
   from (select doc_id, pos, t >= '80' as high, {CONTROL.format("('0x'||t)::integer")} and t < '80' as control, lag(t) over (partition by doc_id order by pos) >= '80' as before from bytes) group by doc_id),
  counted as (select doc_id, t, count(*) as c, count(*) filter (where pos < 500) as head from bytes where t >= '80' group by all),
@@ -144,7 +144,7 @@ def ranked(digits: int) -> str:
  more_bytes as (select doc_id, priority, page, coalesce(sum(c*w) filter (where cp >= 128)/sum(c) filter (where cp >= 128), -1e0) as score,
   sum(head) as scalars, coalesce(sum(head) filter (where {CONTROL.format('cp')}),0) as controls,
   bool_or(head > 0 and (cp between 57344 and 63743 or cp >= 983040)) as private from weighed group by doc_id, priority, page having not bool_or(cp is null)),
- picked as (select doc_id, page, priority from (select *, row_number() over (partition by doc_id order by round(score,{digits}) desc, priority) as place
+ picked as materialized (select doc_id, page, priority from (select *, row_number() over (partition by doc_id order by round(score,{digits}) desc, priority) as place
    from (select * from one_byte union all select * from more_bytes)) where place = 1 and scalars > 0 and not private and (scalars-controls)/scalars >= 0.9)"""
 
 
