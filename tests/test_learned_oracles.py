@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from glyphaudit.operators.code_pages import training_texts
+from glyphaudit.plans import fixtures as fx
 from glyphaudit.plans.learned_oracles import hashed
 
 TEXTS = ["A.", "Re.", "De.", "Erö.", "Éaux.", "Ärzte", "a", "é", "Aé", "È", "§¶×÷", " ", "a b", "ÿþabc é", "ï»¿abc é", "Ã©t é", "\x01\x02é", "\x7fé", "plain text",
@@ -34,3 +35,9 @@ def test_the_sample_in_sql_is_the_sample_of_the_model(spark):
     assert len(want) == 800 and sorted(r.text for r in kept) == sorted(r[0] for r in want)
     h = spark.createDataFrame(rows, "text string, language string").select("text", F.xxhash64("text").alias("h")).collect()
     assert {r.text: r.h + 2**63 for r in h} == dict(c.execute(f"with {hashed('t', 'keyed')} select text, h from keyed").fetchall())
+
+
+def test_documents_are_planted_once(spark, sf):
+    df = fx.planted(spark, sf).filter(F.col("content").isNotNull()).filter(F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", "content")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and df.count() > 0
