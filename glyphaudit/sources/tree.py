@@ -1,7 +1,7 @@
 """File trees: distributed listing, prefix-sampled and whole-file reads.
 
-Spark's ``binaryFile`` reader always reads whole files, drops empty and hidden ones and follows links.
-These readers keep them apart: the listing walks the tree one level per Spark job (so neither the driver
+Spark's ``binaryFile`` reader always reads whole files, drops empty and hidden ones, follows links and keeps all paths on the
+driver. These readers keep them apart: the listing walks the tree one level per Spark job (so neither the driver
 nor one task ever holds all paths), and reading is a separate map over the listed files, spread by row.
 """
 
@@ -74,20 +74,32 @@ def _child(parent: str, name: str) -> str:
     return f"{parent.rstrip('/')}/{name}"
 
 
-def _list_directory(path: str, rel: str, known: dict) -> Iterator[dict]:
-    """Rows for the entries of one directory; a row of kind "error" when it cannot be listed."""
+def _hidden(name: str, directory: bool) -> bool:
+    """Names that Spark's file sources leave out."""
+    if directory and name.startswith(("_metadata", "_common_metadata")):
+        return False
+    return name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name)
+
+
+def _list_directory(path: str, rel: str, known: dict, as_spark: bool = False) -> Iterator[dict]:
+    """Rows for the entries of one directory; a row of kind "error" when it cannot be listed.
+
+    ``as_spark`` lists what Spark's file sources would: links are followed, hidden names and directories gone meanwhile left out.
+    """
     try:
         system, inner = _open(path, known)
         entries = system.get_file_info(pafs.FileSelector(inner, recursive=False))
     except (OSError, ValueError) as e:
-        yield {"kind": "error", "path": path, "rel": rel, "list_error": str(e)}
+        if not (as_spark and rel and isinstance(e, FileNotFoundError)):
+            yield {"kind": "error", "path": path, "rel": rel, "list_error": str(e)}
         return
     for entry in entries:
-        if _is_link(system, entry.path):
+        directory = entry.type == pafs.FileType.Directory
+        if _hidden(entry.base_name, directory) if as_spark else _is_link(system, entry.path):
             continue
         row = {"path": _child(path, entry.base_name), "rel": f"{rel}/{entry.base_name}" if rel else entry.base_name}
-        if entry.type == pafs.FileType.Directory:
-            if entry.base_name.lower() not in EXCLUDED_DIRECTORIES:
+        if directory:
+            if as_spark or entry.base_name.lower() not in EXCLUDED_DIRECTORIES:
                 yield {"kind": "directory", **row}
         elif entry.type == pafs.FileType.File:
             yield {"kind": "file", **row, "length": entry.size, "modificationTime": entry.mtime}
@@ -104,32 +116,36 @@ def _batches(rows: Iterator[dict], schema: pa.Schema, size: int = 4096) -> Itera
         yield pa.RecordBatch.from_pylist(pending, schema=schema)
 
 
-def _list_many(directories: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows():
-        known: dict = {}
-        for batch in directories:
-            for d in batch.to_pylist():
-                yield from _list_directory(d["path"], d["rel"], known)
+def _lister(as_spark: bool):
+    def list_many(directories: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            known: dict = {}
+            for batch in directories:
+                for d in batch.to_pylist():
+                    yield from _list_directory(d["path"], d["rel"], known, as_spark)
 
-    yield from _batches(rows(), _LISTED_ARROW)
+        yield from _batches(rows(), _LISTED_ARROW)
 
+    return list_many
 
-def list_directories(directories: DataFrame) -> DataFrame:
+
+def list_directories(directories: DataFrame, as_spark: bool = False) -> DataFrame:
     """Entries of each (path, rel) directory; unlistable ones give a row of kind "error"."""
-    return directories.select("path", "rel").mapInArrow(_list_many, LISTED)
+    return directories.select("path", "rel").mapInArrow(_lister(as_spark), LISTED)
 
 
-def list_tree(spark: SparkSession, base: str, recursive: bool = True) -> DataFrame:
+def list_tree(spark: SparkSession, base: str, recursive: bool = True, as_spark: bool = False) -> DataFrame:
     """All files below ``base``, excluded directories left out; also the directories that failed to list.
 
-    Each level of the tree is listed by one job and stored as a table in the shared folder.
+    Each level of the tree is listed by one job and stored as a table in the shared folder. ``as_spark`` takes the rules of Spark's
+    file sources instead: no directory is excluded by name but the hidden ones, and links are followed.
     """
     store = shared_folder(spark, "listing")
     frontier = spark.createDataFrame([(base.rstrip("/") or "/", "")], "path string, rel string")
     level = 0
     while True:
         target = f"{store}/level={level}"
-        list_directories(frontier).write.parquet(target)
+        list_directories(frontier, as_spark).write.parquet(target)
         if not recursive:
             break
         found = spark.read.schema(LISTED).parquet(target).filter("kind = 'directory'").select("path", "rel")
@@ -244,6 +260,43 @@ def scan_files(
     return read_files(listed_files(listing, include, exclude, excluded_path))
 
 
+def reachable(base: str) -> bool:
+    """Whether tasks can open the store of ``base``; some stores only Spark's own readers reach."""
+    try:
+        _open(base)
+    except (OSError, ValueError, NotImplementedError):
+        return False
+    return True
+
+
+def qualified(spark: SparkSession, base: str) -> str:
+    """The path as Spark's file sources write it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def list_binary_files(spark: SparkSession, base: str, recursive: bool = True) -> DataFrame:
+    """(path, rel, length, modificationTime) of the files Spark's own reader finds: neither empty nor hidden ones.
+
+    Spark lists on the driver, which then holds every path; here no process does. As with Spark, a directory that cannot be listed
+    ends the job.
+    """
+    listing = list_tree(spark, qualified(spark, base), recursive, as_spark=True)
+    failed = listing_warnings(listing).first()
+    if failed:
+        raise OSError(f"cannot list {failed.path}: {failed.list_error}")
+    return listing.filter("kind = 'file' and length > 0").select("path", "rel", "length", "modificationTime")
+
+
 def scan_binary_files(spark: SparkSession, base: str, recursive: bool = True) -> DataFrame:
-    """Spark's own reader, for trees without empty or hidden files: (path, modificationTime, length, content)."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(base)
+    """The rows of Spark's own reader, for trees without empty or hidden files: (path, modificationTime, length, content).
+
+    The listing is spread and stored; a file that cannot be read ends the job. Where only Spark reaches the store its reader is
+    taken, and then the driver holds all paths.
+    """
+    if not reachable(qualified(spark, base)):
+        return spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(base)
+    failed = F.raise_error(F.concat("path", F.lit(": "), "read_error")).cast("binary")
+    return read_files(list_binary_files(spark, base, recursive)).select(
+        "path", F.date_trunc("millisecond", "modificationTime").alias("modificationTime"), "length",
+        F.when(F.col("read_error").isNull(), F.col("content")).otherwise(failed).alias("content"))
